@@ -70,7 +70,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     # Words under sorted runs: the distance to the next run counts, up to the run's length.
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.least(b - a, F.lit(RUN)))
     repeat = F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(RUN), lambda a, x: a + x))
-    return step.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"))
+    # One generated row each: filters on the statistics must not be pushed down into copies of all of the above.
+    stats = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"))
+    return step.select("doc_id", F.inline(F.array(stats)))
 
 
 def base_failed() -> Column:
