@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, line_dedup, packing, quality_model, quality_rules, url_filter
+from . import chat, decontaminate, langid, line_dedup, packing, quality_model, quality_rules, url_filter
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
     "op10_language_id": langid.op10_language_id,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": url_filter.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }
