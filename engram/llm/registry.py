@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, line_dedup, packing, quality_model, quality_rules, url_filter
+from . import chat, decontaminate, langid, line_dedup, ngram_join, packing, quality_model, quality_rules, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_quality_rules": quality_rules.op4_quality_rules,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
     "op3_url_filters": url_filter.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
