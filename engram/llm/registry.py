@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, line_dedup, ngram_join, packing, quality_model, quality_rules, url_filter
+from . import chat, decontaminate, langid, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
