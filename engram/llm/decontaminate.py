@@ -105,21 +105,27 @@ class Items:
         return found
 
 
+def matches(items: Items, column, most: int):
+    """(row, item, shared) of each item that a text of an Arrow column of word hashes holds."""
+    words, offsets = flat(column)
+    for a, b in chunks(offsets, most):
+        h, ends = shingles(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for doc, item in sorted(items.candidates(h, ends)):
+            mine = items.sets[item]
+            shared = int(np.isin(mine, h[ends[doc] : ends[doc + 1]]).sum())
+            if shared >= items.threshold * len(mine) - 1e-9:
+                yield a + doc, item, shared
+
+
 def search(items: Items, most: int = 400_000):
     """mapInArrow: (doc_id, words) to the items that each document holds."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            words, offsets = flat(batch.column(1))
-            rows = []
-            for a, b in chunks(offsets, most):
-                h, ends = shingles(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for doc, item in sorted(items.candidates(h, ends)):
-                    mine = items.sets[item]
-                    shared = int(np.isin(mine, h[ends[doc] : ends[doc + 1]]).sum())
-                    if shared >= items.threshold * len(mine) - 1e-9:
-                        rows.append((ids[a + doc], items.ids[item], shared, len(mine), shared / len(mine)))
+            ids, rows = batch.column(0).to_pylist(), []
+            for row, item, shared in matches(items, batch.column(1), most):
+                n = len(items.sets[item])
+                rows.append((ids[row], items.ids[item], shared, n, shared / n))
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
@@ -127,6 +133,19 @@ def search(items: Items, most: int = 400_000):
     return run
 
 
+def drop(items: Items, most: int = 400_000):
+    """mapInArrow: (row, words) to the rows that hold no item."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, np.bool_)
+            for row, _, _ in matches(items, batch.column(1), most):
+                keep[row] = False
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep))], ["row"])
+
+    return run
+
+
 def item_sets():
     """mapInArrow: (item_id, words) to the item's distinct shingles."""
 
@@ -153,18 +172,31 @@ def blocks(rows, most: int):
         yield held
 
 
+def item_blocks(items: DataFrame, threshold: float, miss: float, block: int):
+    """Ready blocks of items (item_id, text), one at a time."""
+    sets = items.select("item_id", word_hashes(F.col("text")).alias("words")).mapInArrow(item_sets(), "item_id bigint, shingles array<bigint>")
+    for held in blocks(sets.filter("size(shingles) > 0").toLocalIterator(), block):
+        yield Items([i for i, _ in held], [s for _, s in held], threshold, miss)
+
+
 def find_contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, miss: float = 1e-5, block: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of each item (item_id, text) of which a document (doc_id, text) holds `threshold` or more."""
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    sets = items.select("item_id", word_hashes(F.col("text")).alias("words")).mapInArrow(item_sets(), "item_id bigint, shingles array<bigint>")
     out = None
-    for held in blocks(sets.filter("size(shingles) > 0").toLocalIterator(), block):
-        ready = Items([i for i, _ in held], [s for _, s in held], threshold, miss)
+    for ready in item_blocks(items, threshold, miss, block):
         found = hashed.mapInArrow(search(ready), FOUND)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
+def without_contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, miss: float = 1e-5, block: int = 1_000_000) -> DataFrame:
+    """The rows of docs (text, others) that hold no item; no shuffle, whatever the ids."""
+    rows = docs.select(F.struct("*").alias("row"))
+    for ready in item_blocks(items, threshold, miss, block):
+        rows = rows.select("row", word_hashes(F.col("row.text")).alias("words")).mapInArrow(drop(ready), rows.schema)
+    return rows.select("row.*")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
 

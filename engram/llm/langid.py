@@ -177,6 +177,20 @@ def identify(filter_: Filter):
     return run
 
 
+def keep_language(filter_: Filter, least_coverage: float):
+    """mapInArrow: (row, doc_id, held_out, text) to the rows whose text has letters and enough n-grams of its predicted language."""
+    judge = identify(filter_)
+
+    def run(batches):
+        for batch in batches:
+            parts = pa.record_batch([batch.column(k) for k in (1, 2, 3)], ["doc_id", "held_out", "text"])
+            for found in judge([parts]):
+                keep = [p != "und" and c >= least_coverage for p, c in zip(found.column(2).to_pylist(), found.column(4).to_pylist())]
+                yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
+
+    return run
+
+
 def predict_language(docs: DataFrame, filter_: Filter, held_out=F.lit(False)) -> DataFrame:
     """doc_id, held_out, lang_pred, score and coverage of every row of docs (doc_id, text)."""
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
