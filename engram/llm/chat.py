@@ -69,8 +69,10 @@ def path_scores(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             raise ValueError("replies form a cycle")
         levels.append(level)
         above = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        joined = level.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        level = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
+        # Only messages whose pointer has not passed the root are joined again.
+        joined = level.filter("up is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        joined = joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        level = cut(level.filter("up is null").unionByName(joined))
     return level, levels
 
 
