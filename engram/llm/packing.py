@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,40 +24,51 @@ from .common import cut, read
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 BIN = f"closed boolean, fill long, members array<{MEMBER}>"
-#: Texts of these characters only are split with `re` as the tokenizer would; others go to the tokenizer itself.
-LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ſ‐-‧€]*")
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: Texts of other characters than these go to the tokenizer itself, whose tables of letters are the authority.
+NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ‐-‧€]")
+#: How a byte-level tokenizer splits a text before its merges.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of_char() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class TokenBytes:
-    """Token ids of texts as little-endian 32-bit bytes, with a bounded cache of word pieces."""
+    """Token ids of texts as little-endian 32-bit bytes.
+
+    The merges of a byte-level vocabulary are applied by the faster of two libraries that agree on them; texts with added
+    tokens or with characters outside of the plain ranges are left to the tokenizer itself.
+    """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str):
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
-        self.cache, self.most = {}, cache
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.added = [t["content"] for t in told["added_tokens"]]
+        pre, byte = told["pre_tokenizer"] or {}, byte_of_char()
+        self.fast = None
+        if told["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
+            ranks = {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in self.added}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def exact(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
+        if self.fast is None or NOT_PLAIN.search(text) or any(t in text for t in self.added):
             return self.exact(text)
-        cache, pieces = self.cache, PIECE.findall(text)
-        if new := list({p for p in pieces if p not in cache}):
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(pieces))
-            for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                cache[piece] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        return b"".join(map(cache.__getitem__, pieces))
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def cut_document(doc_id, data: bytes, size: int) -> list[tuple]:
