@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut, read
 
 START, END = "<|im_start|>", "<|im_end|>"
-CONTROL = r"(?=\||/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>)"
+CONTROL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
 ESCAPE = re.compile(r"([<\[]\\*)" + CONTROL)
 UNESCAPE = re.compile(r"([<\[]\\*)\\" + CONTROL)
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)

@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read
@@ -191,13 +191,13 @@ def keep_language(filter_: Filter, least_coverage: float):
     return run
 
 
-def predict_language(docs: DataFrame, filter_: Filter, held_out=F.lit(False)) -> DataFrame:
+def predict_language(docs: DataFrame, filter_: Filter, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and coverage of every row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    rows = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text")
     return rows.mapInArrow(identify(filter_), "doc_id bigint, held_out boolean, lang_pred string, score double, coverage double")
 
 
-def held_out() -> "F.Column":
+def held_out() -> Column:
     return F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
 
 

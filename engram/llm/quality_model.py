@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read, word_hashes
@@ -88,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, epochs: int =
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", word_hashes(F.col("text")).alias("words"), F.col("quality").cast("double").alias("y"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch"), "doc_id", "y")
-    return np.array(rows.select("words", "y").mapInArrow(train(bits, alpha, beta, l1, l2), "w array<float>").first()["w"], np.float32)
+    trained = rows.select("words", "y").mapInArrow(train(bits, alpha, beta, l1, l2), "w array<float>").first()
+    return np.zeros((1 << bits) + 1, np.float32) if trained is None else np.array(trained["w"], np.float32)
 
 
 def score(weights: np.ndarray, bits: int):
@@ -105,15 +106,15 @@ def score(weights: np.ndarray, bits: int):
     return run
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, held_out=F.lit(False), threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, weights: np.ndarray, held_out: Column | None = None, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
     bits = (len(weights) - 1).bit_length() - 1
-    rows = docs.select("doc_id", held_out.alias("held_out"), word_hashes(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), word_hashes(F.col("text")).alias("words"))
     scored = rows.mapInArrow(score(weights, bits), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def held_out() -> "F.Column":
+def held_out() -> Column:
     return F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
 
 
