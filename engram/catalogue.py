@@ -199,7 +199,7 @@ def _(t):
     return tags.vocabulary(tags.tag_postings(t.memories))
 
 
-_SPLIT = "regexp_split_to_array(lower(content), '[\\s" + "".join("\\" + c if c != "'" else "''" for c in T.SEPARATORS) + "]+')"
+_SPLIT = "regexp_split_to_array(lower(content), '[ \\t\\n\\r" + "".join("\\" + c if c != "'" else "''" for c in T.SEPARATORS) + "]+')"
 
 
 @query(
@@ -440,6 +440,12 @@ def _(t):
     return search.list_memories(t.memories, filters.record_filter("long_term"))[1]
 
 
+@query("fetch_values", "SELECT id, source, 1e0 AS score FROM memories WHERE id IN (SELECT key FROM postings WHERE token IN ('fr', 'b3') GROUP BY key HAVING count(DISTINCT token) = 2)", POSTINGS)
+def _(t):
+    keys = tags.search_and(tags.tag_postings(t.memories), ["fr", "b3"])
+    return search.fetch_values(keys, t.memories).select("id", "source", "score")
+
+
 _PREVIEW = "CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END AS preview"
 
 
@@ -512,7 +518,7 @@ def _(t):
     "entity_records",
     """SELECT id || ':entity:0' AS id, 'Entity: ' || tags[1] || chr(10) || 'Type: Language' AS content FROM memories WHERE id % 10 = 0
 UNION ALL SELECT id || ':entity:1', 'Entity: ' || tags[2] || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories WHERE id % 10 = 0
-UNION ALL SELECT id || ':entity:2', 'Entity: ' || upper(' ' || tags[2]) || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories WHERE id % 10 = 0""",
+UNION ALL SELECT id || ':entity:2', 'Entity: ' || upper(tags[2]) || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories WHERE id % 10 = 0""",
 )
 def _(t):
     return connections.extract_graph(_requests(t), NOW_MS)[0].select("id", "content")

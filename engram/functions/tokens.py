@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_TOKEN_BYTES, MAX_TOKEN_BYTES, MAX_EXACT_TAG_BYTES = 1, 100, 200
-#: ASCII punctuation that separates words, besides white space. The underscore does not.
+#: Blanks and ASCII punctuation that separate words. The underscore does not.
 SEPARATORS = ".,;:!?()[]{}\"'`~@#$%^&*-+=<>/\\|"
-_CLASS = "[\\s" + "".join("\\" + c for c in SEPARATORS) + "]+"
+_CLASS = "[ \\t\\n\\r" + "".join("\\" + c for c in SEPARATORS) + "]+"
 KEY_PREFIX = "memory:"
 
 
@@ -78,5 +78,5 @@ def parse_time_ms(param: Column) -> Column:
 
 
 def entity_content(name: Column, kind: Column, description: Column) -> Column:
-    """The text of an extracted entity."""
+    """The text of an extracted entity; a null description is left out."""
     return F.concat_ws("\n", F.concat(F.lit("Entity: "), name), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Description: "), description))

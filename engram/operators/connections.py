@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import entity_content
 from ..functions.vectors import depth_score
-from ..schema import RELATIONSHIPS, clamp
+from ..schema import MAX_ENTITIES, MAX_RELATIONSHIPS, RELATIONSHIPS, clamp
 from .filters import live
 from .graph import bfs
 from .vector import knn_batch, similarity_join
@@ -86,23 +86,27 @@ def checked_connections(requests: DataFrame, memories: DataFrame) -> tuple[DataF
 def extract_graph(requests: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """Entity records and edges of create requests (id, graph_extraction).
 
-    Each entity becomes a long-term record, which its source references with weight 1; relationships join on the
-    trimmed lower-cased names of the request's entities, where of equal names the last one counts.
+    Each named entity becomes a long-term record, which its source references with weight 1; relationships join on the
+    trimmed lower-cased names of the request's entities, where of equal names the last one counts. Relationships of an entity
+    with itself or with unknown names are left out, unknown types become related_to.
     """
-    named = requests.select(F.col("id").alias("parent"), F.posexplode("graph_extraction.entities").alias("pos", "e"))
+    named = requests.select(F.col("id").alias("parent"), F.posexplode(F.slice("graph_extraction.entities", 1, MAX_ENTITIES)).alias("pos", "e"))
+    named = named.select("parent", "pos", F.trim("e.name").alias("label"), F.trim(F.coalesce("e.entity_type", F.lit("entity"))).alias("kind"), F.nullif(F.trim("e.description"), F.lit("")).alias("about"))
+    named = named.filter(F.coalesce("label", F.lit("")) != "")
     entities = named.select(
         "parent", "pos",
         F.concat_ws(":", F.col("parent").cast("string"), F.lit("entity"), F.col("pos").cast("string")).alias("id"),
-        F.lower(F.trim("e.name")).alias("name"),
-        entity_content(F.col("e.name"), F.col("e.entity_type"), F.col("e.description")).alias("content"),
-        F.array(F.lit("__entity__"), F.concat(F.lit("entity:"), F.lower("e.entity_type"))).alias("tags"),
+        F.lower("label").alias("name"),
+        entity_content(F.col("label"), F.col("kind"), F.col("about")).alias("content"),
+        F.array(F.lit("__entity__"), F.concat(F.lit("entity:"), F.col("kind"))).alias("tags"),
     )
-    records = entities.select("id", "content", F.lit("long_term").alias("memory_type"), "tags", F.lit(ENTITY_IMPORTANCE).alias("importance"), F.lit(now_ms).alias("created_at"))
+    records = entities.select("id", "content", F.lit("long_term").alias("memory_type"), F.lit("graph_extraction").alias("source"), "tags", F.lit(ENTITY_IMPORTANCE).alias("importance"), F.lit(now_ms).alias("created_at"))
     references = entities.select(F.col("parent").cast("string").alias("src"), F.col("id").alias("dst"), F.lit("references").alias("edge_type"), F.lit(1.0).alias("weight"))
     last = entities.groupBy("parent", "name").agg(F.max_by("id", "pos").alias("id"))
-    links = requests.select(F.col("id").alias("parent"), F.explode("graph_extraction.relationships").alias("r")).select(
+    links = requests.select(F.col("id").alias("parent"), F.explode(F.slice("graph_extraction.relationships", 1, MAX_RELATIONSHIPS)).alias("r")).select(
         "parent", F.lower(F.trim("r.source")).alias("a"), F.lower(F.trim("r.target")).alias("b"),
-        F.coalesce("r.relationship_type", F.lit("related_to")).alias("edge_type"), F.coalesce(clamp(F.col("r.strength"), 0.0, 1.0), F.lit(RELATION_STRENGTH)).alias("weight"),
+        known_type(F.col("r.relationship_type")).alias("edge_type"), F.coalesce(clamp(F.col("r.strength"), 0.0, 1.0), F.lit(RELATION_STRENGTH)).alias("weight"),
     )
     links = links.join(last.withColumnsRenamed({"name": "a", "id": "src"}), ["parent", "a"]).join(last.withColumnsRenamed({"name": "b", "id": "dst"}), ["parent", "b"])
+    links = links.filter("src <> dst")
     return records, references.unionByName(links.select("src", "dst", "edge_type", "weight"))

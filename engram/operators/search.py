@@ -88,6 +88,11 @@ def keyword(memories: DataFrame, query: str, where: Column | None = None, limit:
     return both.select("id", F.round(score, 6).alias("score")).filter("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def fetch_values(keys: DataFrame, memories: DataFrame) -> DataFrame:
+    """Records of given keys (key, ...), each with score 1; unknown keys are left out."""
+    return memories.join(keys.select(F.col("key").alias("id")).distinct(), "id", "left_semi").withColumn("score", F.lit(1.0))
+
+
 def list_memories(memories: DataFrame, where: Column | None = None, offset: int = 0, limit: int = 10, order: str = "asc") -> tuple[DataFrame, DataFrame]:
     """A page by creation time, and the filtered total as one row."""
     rows = live(memories).filter(F.lit(True) if where is None else where)

@@ -31,6 +31,8 @@ RELATIONSHIPS = ("related_to", "caused_by", "part_of", "references", "contradict
 
 MAX_CONTENT_BYTES = 100_000
 MAX_TAGS = 50
+MAX_ENTITIES = 100
+MAX_RELATIONSHIPS = 200
 DEFAULT_TTL_S = 3600
 DEFAULT_IMPORTANCE = 0.5
 FLASHBULB_AROUSAL = 0.8
@@ -82,6 +84,8 @@ def create_errors() -> Column:
         ("content_blank", F.coalesce(F.trim("content"), F.lit("")) == ""),
         ("content_too_long", F.octet_length("content") > MAX_CONTENT_BYTES),
         ("too_many_tags", F.size("tags") > MAX_TAGS),
+        ("too_many_entities", F.size("graph_extraction.entities") > MAX_ENTITIES),
+        ("too_many_relationships", F.size("graph_extraction.relationships") > MAX_RELATIONSHIPS),
         ("memory_type_unknown", ~F.col("memory_type").isin([t.value for t in MemoryType])),
     ]
     return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks)))

@@ -80,6 +80,23 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/v={version}")
 
 
+def compact_snapshot(spark: SparkSession, root: str, rows_per_file: int = 1_000_000) -> int:
+    """Rewrite the current version into files of about `rows_per_file` rows; returns the new version."""
+    rows = read_snapshot(spark, root)
+    return write_snapshot(rows.coalesce(max(1, -(-rows.count() // rows_per_file))), root)
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete all but the newest `keep` versions; returns the numbers of those deleted."""
+    fs, folder = _fs(spark, root)
+    newest = current_version(spark, root) or 0
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    old = sorted(int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) <= newest - keep)
+    for v in old:
+        fs.delete(_fs(spark, f"{root}/v={v}")[1], True)
+    return old
+
+
 def backup(spark: SparkSession, root: str, target: str) -> int:
     """Copy the current version to another place; returns its number of rows."""
     rows = read_snapshot(spark, root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,4 +67,20 @@ def discover_batch(vectors: Callable[[], DataFrame], edges: Callable[[], DataFra
     return run
 
 
-__all__ = ["current_state", "discover_batch", "fold_batch", "latest_rows", "merge", "read_changelog", "start_fold"]
+def supervise(start: Callable[[], StreamingQuery], retries: int = 5, longest_s: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run a query to its end and start it again when it fails, after 1, 2, 4 and so on seconds; the checkpoint makes that safe.
+
+    Returns the number of restarts; the last error is raised once `retries` are used up.
+    """
+    for attempt in range(retries + 1):
+        try:
+            start().awaitTermination()
+            return attempt
+        except Exception:
+            if attempt == retries:
+                raise
+            sleep(min(longest_s, 2.0**attempt))
+    return retries
+
+
+__all__ = ["current_state", "discover_batch", "fold_batch", "latest_rows", "merge", "read_changelog", "start_fold", "supervise"]

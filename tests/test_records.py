@@ -97,11 +97,11 @@ def test_create(spark):
 
 
 def test_graph_extraction(spark):
-    graph = {"entities": [{"name": "Ada", "entity_type": "Person"}, {"name": " ada ", "entity_type": "Person", "description": "d"}], "relationships": [{"source": "ADA", "target": "nobody"}, {"source": "Ada", "target": "Ada", "strength": 3.0}]}
+    graph = {"entities": [{"name": "Ada", "entity_type": "Person"}, {"name": " ada ", "entity_type": "Person", "description": " d "}, {"name": "  "}, {"name": "Bob", "description": " "}], "relationships": [{"source": "ADA", "target": "nobody"}, {"source": "Ada", "target": "Ada"}, {"source": " ADA", "target": "bob", "relationship_type": "odd", "strength": 3.0}]}
     records, edges = connections.extract_graph(requests(spark, {"id": "m", "content": "c", "graph_extraction": graph}), NOW_MS)
-    assert [r["content"] for r in records.orderBy("id").collect()] == ["Entity: Ada\nType: Person", "Entity:  ada \nType: Person\nDescription: d"]
+    assert [r["content"] for r in records.orderBy("id").collect()] == ["Entity: Ada\nType: Person", "Entity: ada\nType: Person\nDescription: d", "Entity: Bob\nType: entity"]
     got = {(r["src"], r["dst"], r["edge_type"], r["weight"]) for r in edges.collect()}
-    assert got == {("m", "m:entity:0", "references", 1.0), ("m", "m:entity:1", "references", 1.0), ("m:entity:1", "m:entity:1", "related_to", 1.0)}
+    assert got == {*(("m", f"m:entity:{i}", "references", 1.0) for i in (0, 1, 3)), ("m:entity:1", "m:entity:3", "related_to", 1.0)}
 
 
 def test_connection_checks(spark):
@@ -146,6 +146,8 @@ def test_snapshots(spark, tmp_path):
     assert S.write_snapshot(spark.range(5), root) == 2
     assert S.read_snapshot(spark, root).count() == 5 and S.read_snapshot(spark, root, 1).count() == 3
     assert S.backup(spark, root, str(tmp_path / "copy")) == 5
+    assert S.compact_snapshot(spark, root) == 3 and S.read_snapshot(spark, root).count() == 5
+    assert S.drop_versions(spark, root) == [1] and S.current_version(spark, root) == 3
     S.append_task_run(spark, str(tmp_path / "runs"), {"task": "t", "started_at": 1, "finished_at": 2, "status": "ok", "affected": 3, "error": None})
     assert S.read_task_runs(spark, str(tmp_path / "runs")).first()["affected"] == 3
 
@@ -162,6 +164,21 @@ def test_stream_folds_into_a_snapshot(spark, tmp_path):
     assert sorted(r["key"] for r in stream.current_state(spark, root).collect()) == ["b", "c"]
 
 
+def test_supervised_restarts():
+    class Query:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def awaitTermination(self):
+            if self.fails:
+                raise RuntimeError("lost")
+
+    left, slept = [True, True, False], []
+    assert stream.supervise(lambda: Query(left.pop(0)), sleep=slept.append) == 2 and slept == [1.0, 2.0]
+    with pytest.raises(RuntimeError):
+        stream.supervise(lambda: Query(True), retries=1, sleep=slept.append)
+
+
 @pytest.fixture(scope="module")
 def store(spark, data):
     return MemoryStore(load(spark, data), Config(discovery_threshold=0.45))
