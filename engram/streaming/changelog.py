@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changelog import fold, merge
@@ -21,23 +22,20 @@ def read_changelog(spark: SparkSession, path: str, schema: str, files_per_trigge
 def fold_batch(root: str, keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch: fold a micro-batch into the snapshot under root.
 
-    A batch that comes again after a failure changes nothing: the fold takes the newest row by seq. Tombstones
-    are kept in the snapshot's own log order, so a late older row can't bring a deleted record back.
+    A batch that comes again after a failure changes nothing: the fold takes the newest row by seq. Deletions
+    stay in the snapshot as rows, so a late older row can't bring a deleted record back.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         whole = batch if current_version(spark, root) is None else read_snapshot(spark, root).unionByName(batch)
-        newest = whole.dropDuplicates() if whole is batch else whole
-        write_snapshot(latest_rows(newest, keys), root)
+        write_snapshot(latest_rows(whole, keys), root)
 
     return run
 
 
 def latest_rows(changelog: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The newest row of each key with its op, deletions included."""
-    from pyspark.sql import functions as F
-
     keys = keys or ["key"]
     rest = [c for c in changelog.columns if c not in keys]
     order = F.struct("seq", "op", *(c for c in rest if c not in ("seq", "op")))
@@ -58,8 +56,6 @@ def discover_batch(vectors: Callable[[], DataFrame], edges: Callable[[], DataFra
     """foreachBatch over new vectors (id, embedding): append their similar_to edges to a table."""
 
     def run(batch: DataFrame, _: int) -> None:
-        from pyspark.sql import functions as F
-
         found = knn_batch(vectors(), batch, k).filter(F.col("score") >= threshold)
         links = without_linked(found, edges()).select("src", "dst", F.lit("similar_to").alias("edge_type"), F.col("score").alias("weight"))
         links.write.mode("append").parquet(sink)
