@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, langid, line_dedup, ngram_join, packing
-from engram.llm.common import read, written
+from engram.llm.common import cut, matched, read, written
 
 #: A text is of no learned language when less than this share of its n-grams is.
 LEAST_COVERAGE = 0.25
@@ -43,11 +43,13 @@ def line_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_join.join_similar(docs.select("doc_id", "text"))
-    first = joined.filter(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    first = first.groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    single, several = rows.filter("n = 1 or doc_id is null"), rows.filter("n > 1 and doc_id is not null")
-    return single.select("row.*").unionByName(several.dropDuplicates(["doc_id", "text"]).select("row.*"))
+    first = F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))
+    ids = cut(joined.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(first.cast("int")).alias("n")).filter("n <> 1"))
+    # Most documents stay as they are: only those that go, and those whose id comes again, are looked up.
+    gone, again = ids.filter("n = 0").select("doc_id"), ids.filter("n > 1").select("doc_id")
+    rows = matched(docs.select(F.struct("*").alias("row"), "doc_id", "text"), gone, "doc_id", "left_anti")
+    several = matched(rows, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return matched(rows, again, "doc_id", "left_anti").select("row.*").unionByName(several.select("row.*"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def matched(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
+    """Semi or anti join with a materialised table of ids. At most `most` ids, counted first, are broadcast, so that df is not shuffled; more are not."""
+    n = ids.count()
+    if n == 0:
+        return df if how == "left_anti" else df.limit(0)
+    return df.join(F.broadcast(ids) if n <= most else ids, key, how)
+
+
 def written(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Write as Parquet to the shared checkpoint folder and read again; a table written so before, if given, is deleted."""
     spark = df.sparkSession
