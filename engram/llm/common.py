@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ensure_checkpoint_dir, materialized
+
 #: Words are runs of characters other than these ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Words in a shingle, and the similarity from which two documents are near duplicates.
@@ -22,29 +21,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set an own one only in local mode without it."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if shared := sc.getConf().get("spark.checkpoint.dir"):
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        own = tempfile.mkdtemp(prefix="engram-checkpoint-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation of what came before."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialized(df)
+
+
+#: Rows of numbers (some 32 bytes each) up to which a counted table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Of a materialised table of numbers: marked for a broadcast if it has at most `most` rows, as it is otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def matched(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
-    """Semi or anti join with a materialised table of ids. At most `most` ids, counted first, are broadcast, so that df is not shuffled; more are not."""
+def matched(df: DataFrame, ids: DataFrame, key, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Semi or anti join with a materialised table of keys, by names or a condition. At most `most` keys, counted first, are broadcast, so
+    that df is not shuffled; more are not."""
     n = ids.count()
     if n == 0:
         return df if how == "left_anti" else df.limit(0)
