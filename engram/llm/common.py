@@ -61,11 +61,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased words of a whole text, computed in the JVM so that Python gets flat numbers."""
-    return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-
-
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

@@ -1,20 +1,23 @@
 """N-gram Jaccard self-join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Signatures: MinHash values in `bands` bands of `rows` values, and a 128-bit key of the exact shingle set.
-2. Documents of one set key are a class; the smallest id stands for it, so exact copies are joined once.
-3. Shuffle on band hashes: each bucket of two or more classes links its members to its smallest one (an aggregation
-   and a join with one row per bucket, so a bucket of any size makes as many rows as it has members).
-4. Classes that are connected by buckets are a candidate group. Groups of more than `cell` classes are split into blocks, and pairs of
-   blocks go to different tasks; each task compares the full shingle sets of all pairs in its cell, by products of
-   incidence matrices, and returns a count of links per class and a spanning forest: no row per pair is ever made.
+2. Documents of one set key are a class, whatever their ids; it gets a number, and exact copies are joined once.
+3. Shuffle on band hashes: a bucket is the classes that share one. Of buckets with the same members one is kept (by a count and a
+   128-bit sum of hashes), and a bucket goes if all its members meet in one larger bucket, the largest that each of them has.
+4. The members of a bucket are compared with each other, by products of incidence matrices; a pair that
+   shares several buckets is compared in the first of them only, so pairs that share none never meet. Buckets of more than `cell`
+   classes or `weight` shingles are split into blocks, and pairs of blocks go to different tasks. A task returns a count of links per class
+   and a spanning forest: no row per pair is ever made.
 5. The forests joined give the near-duplicate class of each document.
 
 The recall of the banding at similarity s is 1 - (1 - s^rows)^bands: 0.9999 at 0.8 with the defaults, more above. What is
-found is exact: every link is verified, and pairs that share a group are all compared.
+found is exact: every link is verified on full sets, and every pair that shares a bucket is compared.
 
-Edge cases: a text of one to four words has one shingle of all its words; null texts and texts without words have none,
-link to nothing and are a class each; repeated rows are exact copies of each other; rows with a null id are compared
-only by copies that have an id (they get that class, else null); an empty table gives an empty result; other columns are ignored.
+Edge cases: a text of one to four words has one shingle of all its words; null texts and texts of blanks have none,
+link to nothing and are a class each; repeated rows are exact copies of each other; an id may come with several texts, each
+of which is linked by itself; rows with a null id are linked like others, but never name a class, so a class of such
+rows only has a null class_id; a similarity that equals the threshold is a link, and of ids the smallest names the class; texts of any
+length are read whole, a bounded chunk of texts at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, cut, read, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, bounded, cut, read
 from .components import components
-from .shingles import chunks, flat, minima, mixed, shingles
+from .shingles import WordHasher, minima, mixed, shingles
 
 BANDS, ROWS = 30, 6
-SIGNATURE = "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"
+SIGNATURE = "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -42,16 +45,16 @@ def set_key(unique: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
-def sign(bands: int, rows: int, size: int, most: int = 200_000):
-    """mapInArrow: (doc_id, words) to signatures; null keys and bands without shingles."""
+def sign(bands: int, rows: int, size: int):
+    """mapInArrow: (doc_id, t1, t2, text) to signatures; null keys and bands without shingles."""
     weights = mixed(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
+        hasher = WordHasher()
         for batch in batches:
-            words, offsets = flat(batch.column(1))
             n, keys, values = [], [], []
-            for a, b in chunks(offsets, most):
-                h, ends = shingles(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, short=True)
+            for a, b, words, offsets in hasher.chunks(batch.column(3)):
+                h, ends = shingles(words, offsets, size, short=True)
                 full = np.flatnonzero(np.diff(ends))
                 low = minima(h, ends[full], bands * rows).astype(np.uint64).reshape(bands, rows, len(full))
                 hashed = mixed((low * weights[None, :, None]).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[:, None])
@@ -61,14 +64,26 @@ def sign(bands: int, rows: int, size: int, most: int = 200_000):
                     n.append(len(unique))
                     keys.append(set_key(unique) if len(unique) else (None, None))
                     values.append(of.get(i))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set1", "set2", "bands"],
-            )
+            sets = [pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]
+            yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), *sets, pa.array(values, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n_shingles", "set1", "set2", "bands"])
 
     return run
 
 
+def first_here(bucket: int, buckets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Boolean matrix left x right of the pairs whose first bucket in common is this one."""
+    here = np.ones((len(left), len(right)), np.bool_)
+    earlier: dict[int, list[list[int]]] = {}
+    for side, members in enumerate((left, right)):
+        for place, k in enumerate(members):
+            for other in buckets[k][buckets[k] < bucket].tolist():
+                earlier.setdefault(other, [[], []])[side].append(place)
+    for x, y in earlier.values():
+        if x and y:
+            here[np.ix_(x, y)] = False
+    return here
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, width: int = 4096) -> np.ndarray:
     """Boolean matrix left x right of the pairs of sets that are similar."""
     n = np.array([len(s) for s in sets])
@@ -96,20 +111,23 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def verify(threshold: float, size: int):
-    """mapInArrow over rows sorted by cell: (grp, i, j, rep, blk, n, set1, set2, words) to (rep, n_links, root), see step 4."""
+    """mapInArrow over rows sorted by cell: (bucket, i, j, cid, blk, n, buckets, text) to (cid, n_links, root), see step 4."""
 
     def close(cell, members, out):
-        (_, i, j), reps = cell, [m[0] for m in members]
+        (bucket, i, j), ids = cell, [m[0] for m in members]
         if len(members) < 2:
             return
-        sets, blocks, copies = [m[3] for m in members], np.array([m[1] for m in members]), np.array([m[2] for m in members])
+        sets, blocks, copies = [m[4] for m in members], np.array([m[1] for m in members]), np.array([m[2] for m in members])
         left = np.flatnonzero(blocks == i)
         right = left if i == j else np.flatnonzero(blocks == j)
         if not len(left) or not len(right):
             return
-        like = linked(sets, left, right, threshold)
+        here = first_here(bucket, [m[3] for m in members], left, right)
         if i == j:
-            np.fill_diagonal(like, False)
+            np.fill_diagonal(here, False)
+        if not here.any():
+            return
+        like = linked(sets, left, right, threshold) & here
         counts = np.zeros(len(members), np.int64)
         counts[left] += like @ copies[right]
         if i != j:
@@ -124,24 +142,21 @@ def verify(threshold: float, size: int):
                 break
             label = new
         for k in np.flatnonzero(counts):
-            out.append((reps[k], int(counts[k]), reps[label[k]]))
+            out.append((ids[k], int(counts[k]), ids[label[k]]))
 
     def run(batches):
-        at, members, seen, out = None, [], set(), []
+        hasher, at, members, out = WordHasher(), None, [], []
         for batch in batches:
-            grp, i, j, rep, blk, n, set1, set2 = (batch.column(k).to_pylist() for k in range(8))
-            words, offsets = flat(batch.column(8))
-            for k, cell in enumerate(zip(grp, i, j)):
-                if cell != at:
-                    if at is not None:
-                        close(at, members, out)
-                    at, members, seen = cell, [], set()
-                h, _ = shingles(words[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), size, short=True)
-                unique = np.unique(h)
-                # An id that stands for a class may also be that of another text, and may come repeatedly.
-                if rep[k] not in seen and set_key(unique) == (set1[k], set2[k]):
-                    seen.add(rep[k])
-                    members.append((rep[k], blk[k], n[k], unique))
+            bucket, i, j, cid, blk, n = (batch.column(k).to_pylist() for k in range(6))
+            for a, b, words, offsets in hasher.chunks(batch.column(7)):
+                for k in range(a, b):
+                    if (cell := (bucket[k], i[k], j[k])) != at:
+                        if at is not None:
+                            close(at, members, out)
+                        at, members = cell, []
+                    own = words[offsets[k - a] : offsets[k - a + 1]]
+                    unique = np.unique(shingles(own, np.array([0, len(own)]), size, short=True)[0])
+                    members.append((cid[k], blk[k], n[k], np.array(batch.column(6)[k].as_py(), np.int64), unique))
             if len(out) > 20_000:
                 yield _links(out)
                 out = []
@@ -154,49 +169,84 @@ def verify(threshold: float, size: int):
 
 def _links(rows):
     cols = list(zip(*rows)) if rows else [[]] * 3
-    return pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["rep", "n_links", "root"])
-
-
-def join_similar(docs: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, cell: int = 1000) -> DataFrame:
+    return pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["cid", "n_links", "root"])
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, cid) of classes (cid, bands), by band hashes; every pair of classes that shares a band hash shares a row's bucket."""
+    banded = classes.select("cid", F.explode("bands").alias("bucket"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "cid")).alias(f"x{k}") for k in (1, 2)]
+    full = banded.groupBy("bucket").agg(F.count("*").alias("c"), *same).filter("c > 1")
+    kept = cut(full.groupBy("c", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "c"))
+    rows = cut(banded.join(bounded(kept), "bucket"))
+    # Of each class its largest bucket; a bucket whose members all have the same one, and that isn't it, makes no new pair.
+    order = F.struct("c", "bucket")
+    largest = rows.groupBy("cid").agg(F.max(order).alias("top")).select("cid", F.col("top.bucket").alias("top"))
+    needed = rows.join(largest, "cid").groupBy("bucket").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b or a = bucket")
+    needed = cut(needed.select("bucket"))
+    return rows.join(bounded(needed), "bucket", "left_semi")
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, threshold: float, size: int, cell: int, weight: int) -> DataFrame:
+    """(cid, n_links, root): similar classes, see steps 3 and 4."""
+    met = cut(shared_buckets(classes.select("cid", "bands")).join(classes.select("cid", "n", "n_shingles", "t"), "cid"))
+    blocks = F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n_shingles") / weight)).cast("int")
+    rows = met.join(bounded(cut(met.groupBy("bucket").agg(blocks.alias("blocks")))), "bucket")
+    rows = rows.select("cid", F.struct("bucket", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("blk"), "blocks").alias("place"))
+    # One row per class that meets others, with all its buckets (at most one per band), and the key of one of its texts.
+    places = rows.groupBy("cid").agg(F.collect_list("place").alias("places"))
+    asked = cut(met.select("cid", "n", "t.*").distinct().join(places, "cid"))
+    # Only these texts are read again, each once, and go to a cell for every bucket and every block of it.
+    keys = bounded(asked.select(F.col("doc_id").alias("_id"), "t1", "t2", "cid"))
+    texts = docs.select("doc_id", *text_key(F.col("text")), "text").join(keys, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = texts.groupBy("cid").agg(F.first("text").alias("text")).join(asked.select("cid", "n", "places"), "cid")
+    found = found.select("cid", "n", F.transform("places", lambda p: p.bucket).alias("buckets"), F.explode("places").alias("p"), "text")
+    cells = found.select("cid", "n", "buckets", "text", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other"))
+    cells = cells.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "blk", "n", "buckets", "text")
+    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    return cells.mapInArrow(verify(threshold, size), "cid bigint, n_links bigint, root bigint")
+
+
+def text_key(text) -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def join_similar(
+    docs: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, cell: int = 1000, weight: int = 2_000_000,
+) -> DataFrame:
     """One row per row of docs (doc_id, text): class_id, the smallest id it is linked to directly or through others; rep_id, the
-    smallest id with the same shingle set; n_links, the number of other documents that are similar; n_shingles."""
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    signed = cut(hashed.mapInArrow(sign(bands, rows, size), SIGNATURE))
-    keyed = signed.filter("set1 is not null")
-    # Bands of equal sets are equal, so any will do; two classes under one id are told apart by their set keys.
-    classes = keyed.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes.filter("rep is not null"))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    buckets = banded.groupBy("band", "value").agg(F.min("rep").alias("low"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    links = banded.join(buckets, ["band", "value"]).filter("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    groups = components(links)
-
-    members = groups.select(F.col("u").alias("rep"), F.col("v").alias("grp")).join(classes.drop("bands"), "rep")
-    sizes = groups.groupBy("v").agg(F.count("*").alias("m")).select(F.col("v").alias("grp"), F.ceil(F.col("m") / cell).cast("int").alias("blocks"))
-    members = members.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # Only documents of some group are read again; each goes to a cell for every block of its group.
-    texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
-    cells = texts.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blk", F.col("doc_id").alias("rep"), "n", "set1", "set2", "text")
-    cells = cells.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "blk", "n", "set1", "set2", "text")
-    cells = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-    cells = cells.select("grp", "i", "j", "rep", "blk", "n", "set1", "set2", word_hashes(F.col("text")).alias("words"))
-    verified = cut(cells.mapInArrow(verify(threshold, size), "rep bigint, n_links bigint, root bigint"))
-    similar = verified.groupBy("rep").agg(F.sum("n_links").alias("more"))
-    near = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    named = classes.drop("bands").join(similar, "rep", "left").join(near.withColumnRenamed("u", "rep"), "rep", "left")
-    named = named.select("set1", "set2", "rep", "n", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("v", "rep").alias("class"))
+    smallest id with the same shingle set; n_links, the number of other documents that are similar; n_shingles; class, a number
+    that tells classes apart whatever their ids (null without shingles); t1 and t2, which stand for the text."""
+    keyed = docs.select("doc_id", *text_key(F.col("text")), "text")
+    signed = cut(keyed.mapInArrow(sign(bands, rows, size), SIGNATURE))
+    full = signed.filter("set1 is not null")
+    # Bands of equal sets are equal, so any will do; `t` names one text of the class.
+    one = [F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "t1", "t2")).alias("t")]
+    classes = full.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *one)
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    links = cut(verified_links(docs, classes, threshold, size, cell, weight))
+    similar = links.groupBy("cid").agg(F.sum("n_links").alias("more"))
+    near = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
+    near = cut(near.select(F.col("u").alias("cid"), F.col("v").alias("class")).join(classes.select("cid", "rep"), "cid"))
+    names = near.groupBy("class").agg(F.min("rep").alias("name"))
+    near = cut(near.join(names, "class").join(similar, "cid").select("cid", "class", "name", "more"))
+    named = classes.select("set1", "set2", "rep", "n", "cid").join(bounded(near), "cid", "left")
+    named = named.select("set1", "set2", "rep", "n", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("class", "cid").alias("class"), F.when(F.col("class").isNull(), F.col("rep")).otherwise(F.col("name")).alias("name"))
     out = signed.drop("bands").join(named, ["set1", "set2"], "left")
+    none = F.col("class").isNull()
     return out.select(
         "doc_id",
-        F.coalesce("class", "doc_id").alias("class_id"),
-        F.coalesce("rep", "doc_id").alias("rep_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("name")).alias("class_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("rep")).alias("rep_id"),
         F.coalesce(F.col("n") - 1 + F.col("more"), F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",
-    )
+        "class", "t1", "t2",
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join_similar(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("class", "t1", "t2")
 
 
 def similar_sql(documents: str = "documents", threshold: float = SIMILARITY) -> str:

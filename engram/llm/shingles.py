@@ -20,13 +20,6 @@ BLANK = np.zeros(256, np.bool_)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """Values as unsigned 64-bit numbers and offsets of an Arrow list column without nulls."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return values.view(np.uint64), offsets - offsets[0]
-
-
 def chunks(offsets: np.ndarray, most: int):
     """Ranges of texts of about `most` bytes or words in all, or of one longer text."""
     first = 0
