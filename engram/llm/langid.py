@@ -5,13 +5,15 @@ is the set of all languages that contain it. A text's n-grams are counted per la
 (popcounts per bit), the counts are corrected for each language's false-positive rate, and
 the language with the most n-grams left wins.
 
-Learning takes a bounded sample of labelled documents (`sample`, chosen by a hash of the id)
-and keeps at most `grams` n-grams a language, so the filter that tasks receive has a fixed size.
+Learning takes a bounded sample of labelled documents: at most `sample` ids of each language, chosen by a hash of the id, so that a rare
+language is learned from all it has. At most `max_grams` n-grams a language are kept. The filter that
+tasks receive holds 2^bits bits a language, in tables of 64 languages or fewer: 8 MB for each 64 languages by default.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; a text none of whose
 n-grams is known gets the language most frequent in the sample, with score 0; equal counts go to the
-alphabetically first language; no labelled row at all makes every text `und`. Repeated rows
-are judged each; texts of any length are read whole, in slices that end between words.
+alphabetically first language; no labelled row at all makes every text `und`. Repeated rows and rows without an id
+are judged each; rows without an id are not learned from. Texts of any length are read whole, in slices that end between
+words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,44 +99,62 @@ def count_grams():
     return run
 
 
+#: Languages in one table of the filter.
+WIDTH = 64
+
+
 class Filter:
-    """Bit-sliced Bloom filter: `table[slot]` has bit l set when language l has an n-gram there."""
+    """Bit-sliced Bloom filter: `tables[i][slot]` has bit l set when language 64 i + l has an n-gram there."""
 
     def __init__(self, langs: list[str], common: str | None, bits: int, probes: int):
         self.langs, self.common, self.bits, self.probes = langs, common, bits, probes
-        kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
-        self.table = np.zeros(1 << bits, kind)
+        widths = [min(WIDTH, len(langs) - k) for k in range(0, len(langs), WIDTH)]
+        kinds = [np.uint8 if w <= 8 else np.uint16 if w <= 16 else np.uint32 if w <= 32 else np.uint64 for w in widths]
+        self.tables = [np.zeros(1 << bits, kind) for kind in kinds]
 
     def add(self, lang: int, gram: np.ndarray):
+        table = self.tables[lang // WIDTH]
         for at in positions(gram, self.bits, self.probes):
-            self.table[at] |= self.table.dtype.type(1 << lang)
+            table[at] |= table.dtype.type(1 << lang % WIDTH)
 
     def finish(self):
-        fill = np.array([np.mean((self.table >> self.table.dtype.type(k)) & self.table.dtype.type(1)) for k in range(len(self.langs))])
-        self.false = np.minimum(fill**self.probes, 0.999)
+        fill = [np.mean(self.bit(self.tables[k // WIDTH], k)) for k in range(len(self.langs))]
+        self.false = np.minimum(np.array(fill) ** self.probes, 0.999)
         return self
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def bit(mask: np.ndarray, lang: int) -> np.ndarray:
+        return (mask >> mask.dtype.type(lang % WIDTH)) & mask.dtype.type(1)
+
+    def masks(self, gram: np.ndarray) -> list[np.ndarray]:
+        """Of each table the languages that have an n-gram."""
         first, *rest = positions(gram, self.bits, self.probes)
-        mask = self.table[first]
-        for at in rest:
-            mask &= self.table[at]
-        return mask
+        found = []
+        for table in self.tables:
+            mask = table[first]
+            for at in rest:
+                mask &= table[at]
+            found.append(mask)
+        return found
 
 
-def learn(labelled: DataFrame, sample: int = 6000, max_grams: int = 20_000, bits: int = 20, probes: int = 3, keep: float = 0.3, least: int = 3) -> Filter:
+def learn(labelled: DataFrame, sample: int = 2000, max_grams: int = 20_000, bits: int = 20, probes: int = 3, keep: float = 0.3, least: int = 3) -> Filter:
     """Learn from (doc_id, text, lang). An n-gram belongs to each language where it is at least `keep` times as frequent as where it is most frequent."""
-    known = labelled.filter("lang is not null and text is not null")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    counted = known.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(count_grams(), "lang string, gram long, n long")
+    known = labelled.filter("lang is not null and text is not null and doc_id is not null")
+    # By the share that a language needs of its rows, few more ids than wanted are left; then exactly those of the smallest hashes.
+    shares = known.groupBy("lang").agg((F.lit(1.5 * sample + 50) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) <= F.col("share") * 1_000_000_007
+    ids = known.select("lang", "doc_id").join(F.broadcast(shares), "lang").filter(drawn).select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)), "doc_id")
+    ids = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).drop("place")
+    counted = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text").mapInArrow(count_grams(), "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_lang = Window.partitionBy("lang")
     counted = counted.withColumn("total", F.sum("n").over(by_lang)).withColumn("rank", F.row_number().over(by_lang.orderBy(F.desc("n"), "gram")))
     rows = counted.filter((F.col("rank") <= max_grams) & (F.col("n") >= least)).select("lang", "gram", (F.col("n") / F.col("total")).alias("p"), "total").toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
-    if len(names) > 64:
-        raise ValueError("a filter holds 64 languages at most")
-    lang = np.array([names.index(x) for x in rows["lang"].to_pylist()], np.int64)
+    number = {name: k for k, name in enumerate(names)}
+    lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
     gram, p, total = rows["gram"].to_numpy().view(np.uint64), rows["p"].to_numpy(), rows["total"].to_numpy()
     unique, at = np.unique(gram, return_inverse=True)
     most = np.zeros(len(unique))
@@ -146,47 +166,50 @@ def learn(labelled: DataFrame, sample: int = 6000, max_grams: int = 20_000, bits
     return out.finish()
 
 
+def judged(filter_: Filter, texts: list[str | None], is_letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text the predicted language, its share of the corrected counts, and its share of all n-grams."""
+    n, langs = len(texts), len(filter_.langs)
+    counts, total, n_letters = np.zeros((n, langs)), np.zeros(n), np.zeros(n, np.int64)
+    for rows, parts in slices(texts):
+        found, places, lettered = grams(parts, is_letter)
+        np.add.at(n_letters, rows, lettered)
+        for gram, starts in zip(found, places):
+            ends = np.append(starts[1:], len(gram))
+            np.add.at(total, rows, ends - starts)
+            masks = filter_.masks(gram)
+            for k in range(langs):
+                sums = np.concatenate(([0], np.cumsum(filter_.bit(masks[k // WIDTH], k), dtype=np.int64)))
+                np.add.at(counts[:, k], rows, sums[ends] - sums[starts])
+    if not langs:
+        return ["und"] * n, np.zeros(n), np.zeros(n)
+    true = np.maximum(counts - total[:, None] * filter_.false, 0) / (1 - filter_.false)
+    best, most, sums = true.argmax(1), true.max(1), true.sum(1)
+    pred = [("und" if not k else filter_.langs[b] if m > 0 else filter_.common) for k, b, m in zip(n_letters, best, most)]
+    share, cover = most / np.maximum(sums, 1e-9), np.minimum(most / np.maximum(total, 1), 1)
+    return pred, np.where(n_letters > 0, share, 0.0), np.where(n_letters > 0, cover, 0.0)
+
+
 def identify(filter_: Filter):
-    """mapInArrow: (doc_id, held_out, text) to the predicted language, its share of the corrected counts, and its share of all n-grams."""
+    """mapInArrow: (doc_id, held_out, text) to predictions."""
 
     def run(batches):
-        is_letter, langs = letters(), len(filter_.langs)
+        is_letter = letters()
         for batch in batches:
-            n, counts = batch.num_rows, np.zeros((batch.num_rows, langs))
-            total, n_letters = np.zeros(n), np.zeros(n, np.int64)
-            for rows, parts in slices(batch.column(2).to_pylist()):
-                found, places, lettered = grams(parts, is_letter)
-                np.add.at(n_letters, rows, lettered)
-                for gram, starts in zip(found, places):
-                    ends = np.append(starts[1:], len(gram))
-                    np.add.at(total, rows, ends - starts)
-                    mask = filter_.masks(gram)
-                    for k in range(langs):
-                        run_ = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)))
-                        np.add.at(counts[:, k], rows, run_[ends] - run_[starts])
-            true = np.maximum(counts - total[:, None] * filter_.false, 0) / (1 - filter_.false) if langs else counts
-            if langs:
-                best, most, sums = true.argmax(1), true.max(1), true.sum(1)
-                pred = [("und" if not k else filter_.langs[b] if m > 0 else filter_.common) for k, b, m in zip(n_letters, best, most)]
-                share, cover = most / np.maximum(sums, 1e-9), np.minimum(most / np.maximum(total, 1), 1)
-                share, cover = np.where(n_letters > 0, share, 0.0), np.where(n_letters > 0, cover, 0.0)
-            else:
-                pred, share, cover = ["und"] * n, np.zeros(n), np.zeros(n)
+            pred, share, cover = judged(filter_, batch.column(2).to_pylist(), is_letter)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(share), pa.array(cover)], ["doc_id", "held_out", "lang_pred", "score", "coverage"])
 
     return run
 
 
-def keep_language(filter_: Filter, least_coverage: float):
-    """mapInArrow: (row, doc_id, held_out, text) to the rows whose text has letters and enough n-grams of its predicted language."""
-    judge = identify(filter_)
+def keep_language(filter_: Filter, least_coverage: float, text: int):
+    """mapInArrow over rows in a struct, whose field number `text` is the text, to those with letters and enough n-grams of the predicted language."""
 
     def run(batches):
+        is_letter = letters()
         for batch in batches:
-            parts = pa.record_batch([batch.column(k) for k in (1, 2, 3)], ["doc_id", "held_out", "text"])
-            for found in judge([parts]):
-                keep = [p != "und" and c >= least_coverage for p, c in zip(found.column(2).to_pylist(), found.column(4).to_pylist())]
-                yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
+            pred, _, cover = judged(filter_, batch.column(0).flatten()[text].to_pylist(), is_letter)
+            keep = [p != "und" and c >= least_coverage for p, c in zip(pred, cover)]
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
 
     return run
 
