@@ -2,12 +2,15 @@
 
 Text statistics are built-in column expressions over whole texts. From the statistics of a bounded sample of
 labelled documents (`sample`, chosen by a hash of the id), sequential covering grows conjunctions of thresholds that pick
-out low quality, prunes each on held-back rows, and keeps it while it is precise there. The ordered
-rules become one Spark conditional expression; the first rule that fits a document drops it.
+out low quality, prunes each on held-back rows, and keeps it if it is precise there; a rule that is not makes way for the best one that
+begins with another feature, until none is left. The ordered rules become one Spark conditional expression; the first
+rule that fits a document drops it.
 
 Edge cases: null, empty and blank texts have no words, so all statistics are 0 and the base rule fails them; without
-labelled rows of both classes no rule is learned and only the base rule holds; repeated rows are judged each;
-other columns are ignored.
+labelled rows of both classes no rule is learned and only the base rule holds; repeated rows, and rows without an id, are judged
+each; of several labels of an id the lower counts; of tests of equal gain the first by feature and threshold is taken, and
+a value that equals a threshold is on its lower side; texts of any length are read whole, in time
+proportional to n log n of their words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import read, words
 
 SYMBOLS = "#*$%&|<>"
-BLANK_CHARS = " \t\n\x0b\x0c\r"
 RUN = 8
 #: What rules look at: ratios of the statistics, each of which is defined for every text.
 FEATURES = {
@@ -39,21 +41,21 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines and n_repeat_words of docs (doc_id, text)."""
     size = lambda c: F.size(c).cast("long")
     text = F.coalesce("text", F.lit(""))
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     base = docs.select("doc_id", text.alias("text"))
-    has_word = lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0
-    step = base.select(
+    base = base.select(
         "doc_id",
-        F.length(F.translate("text", BLANK_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), has_word).alias("lines"),
-        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"),
+        words(F.col("text")).alias("words"),
     )
-    step = step.select(
-        "doc_id", "word_chars", "n_symbols",
+    step = base.select(
+        "doc_id", "n_symbols",
+        F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         size("lines").alias("n_lines"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        size("w").alias("n_words"),
-        F.when(F.size("w") >= RUN, F.col("w")).alias("h"),
+        size("words").alias("n_words"),
+        F.when(F.size("words") >= RUN, F.transform("words", lambda w: F.xxhash64(w))).alias("h"),
     )
     # Hashes of runs of 2, then 4, then 8 words, each from two runs of half the length.
     k = 1
@@ -63,10 +65,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         k *= 2
     # Sorted only where some run occurs twice.
     twice = F.size(F.array_distinct("h")) < F.size("h")
-    step = step.withColumn("s", F.when(twice, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("h")
+    step = step.withColumn("s", F.when(twice, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("h")
     again = lambda j: (F.get("s", j - 1).x == F.get("s", j).x) | (F.get("s", j + 1).x == F.get("s", j).x)
     places = F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda j: F.coalesce(again(j), F.lit(False))), lambda j: F.get("s", j).i)
-    step = step.withColumn("p", F.when(F.col("s").isNotNull(), F.array_sort(places))).drop("s")
+    step = step.withColumn("p", F.when(F.col("s").isNotNull(), F.sort_array(places))).drop("s")
     # Words under sorted runs: the distance to the next run counts, up to the run's length.
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.least(b - a, F.lit(RUN)))
     repeat = F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(RUN), lambda a, x: a + x))
@@ -107,8 +109,8 @@ def _thresholds(rows: list[dict], feature: str, most: int) -> list[float]:
     return [(values[i] + values[i + 1]) / 2 for i in sorted(cuts)]
 
 
-def _grow(rows: list[dict], max_tests: int, cuts: int) -> Rule:
-    """Add the test of the highest information gain until only low quality is covered."""
+def _grow(rows: list[dict], max_tests: int, cuts: int, not_first: set[str]) -> Rule:
+    """Add the test of the highest information gain until only low quality is covered; the first one is of no feature in `not_first`."""
     rule, covered = Rule(), rows
     while len(rule.tests) < max_tests and any(r["y"] for r in covered):
         p0 = sum(not r["y"] for r in covered)
@@ -116,6 +118,8 @@ def _grow(rows: list[dict], max_tests: int, cuts: int) -> Rule:
             break
         best, gain = None, 0.0
         for f in FEATURES:
+            if not rule.tests and f in not_first:
+                continue
             ordered = sorted(covered, key=lambda r: r[f])
             bad = [0]
             for r in ordered:
@@ -151,14 +155,17 @@ def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 4, cuts:
     """Sequential covering of low quality (y = 0). Every third row is held back for pruning; a rule must be `precise` there and cover `least` rows of it."""
     grow, held = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
     found: list[Rule] = []
+    failed: set[str] = set()
     while len(found) < max_rules and any(not r["y"] for r in grow):
-        rule = _grow(grow, max_tests, cuts)
-        if not rule.tests:
+        grown = _grow(grow, max_tests, cuts, failed)
+        if not grown.tests:
             break
-        rule = _prune(rule, held)
+        rule = _prune(grown, held)
         if rule.bad < least or rule.bad < precision * (rule.bad + rule.good):
-            break
+            failed.add(grown.tests[0][0])
+            continue
         found.append(rule)
+        failed.clear()
         grow, held = [r for r in grow if not rule.fits(r)], [r for r in held if not rule.fits(r)]
     return found
 
