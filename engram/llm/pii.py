@@ -5,11 +5,13 @@ or an `@` is a candidate for a secret (a key, token, password or personal number
 prefixes, the words before, the mix of characters - vote on each candidate (1, 0 or -1). The counts of all vote patterns over the whole
 corpus, a table of bounded size, go to expectation-maximisation, which estimates how reliable each labeller is; the resulting
 soft labels train a logistic span classifier on votes and span features. Its dot product is a column expression, and
-candidates that it accepts and that overlap no base span are added as kind `secret`. Only built-in functions run on executors.
+candidates that it accepts and that overlap no base span are added as kind `secret`. Only built-in functions run on executors, and
+the registered query reads and matches every text once.
 
-Edge cases: null and empty texts have no spans; a table without candidates adds nothing; repeated rows are judged each; matches
-that fail their kind's check are dropped and not tried again; runs of any length are matched without recursion; other columns
-are ignored.
+Edge cases: null and empty texts have no spans; a table without candidates adds nothing; repeated rows, and rows without an id, are judged
+each; spans of one start are ordered by kind as listed; matches that fail their kind's check are dropped and not tried again; texts, runs and
+numbers of matches of any size take time in proportion to them: patterns never go back over a run, and places come from running
+sums in blocks; other columns are ignored. A secret of letters only is no candidate.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The fixed patterns. Possessive quantifiers and the start conditions change no match: they only keep long runs linear.
@@ -33,7 +35,9 @@ BASE = {
 #: What a text must contain for a pattern to be worth trying.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]*+[0-9@]|A[KS]IA)[^\x20\x09-\x0D]*+"
-SPAN = "struct<pos:int,out:array<struct<start:int,end:int,text:string,before:string>>>"
+WORDS = r"(?<![A-Za-z])[A-Za-z]{2,}+[.,;:!?|]++[A-Za-z]{2}"
+#: What may follow a candidate without being part of it.
+AFTER = r"[\"')\]>},;:!?.#&%$*]"
 
 SHAPE = r"^(AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[0-9]*[A-F])[0-9A-F]{16,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{20,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$"
 NUMBER = r"^[#$]?[0-9]{1,9}([.,:/-][0-9]{1,4}){0,3}[%.)]?$"
@@ -43,20 +47,64 @@ BEFORE = r"(?i)(password|passwd|pwd|passphrase|token|secret|api[_ -]?key|access[
 COUNTED = r"(?i)(page|chapter|section|version|figure|table|no\.|nr\.)\x20$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, step, zero: int, block: int = 64, levels: int = 3) -> Column:
+    """For each number of an array what `step` (plus or greatest) makes of zero and all numbers before it.
+
+    Appending copies an array, so numbers are taken in blocks, the results of blocks in blocks of their own, and so on: copies are
+    of `block` numbers, but for those of one array that is block^(levels - 1) times shorter.
+    """
+    state = "struct<at:int,out:array<int>>"
+
+    def plain(part: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.array().alias("out")).cast(state)
+        return F.aggregate(part, start, lambda s, x: F.struct(step(s.at, x).alias("at"), F.array_append(s.out, s.at).alias("out")).cast(state))
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / block).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: plain(F.slice(v, i * block + 1, F.lit(block))))
+
+    def joined(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda p: p.at), step, zero, block, levels - 1)
+        return F.flatten(F.zip_with(parts, before, lambda p, x: F.transform(p.out, lambda y: step(x, y))))
+
+    return let(values, lambda v: plain(v).out) if levels == 1 else let(values, lambda v: let(blocks(v), joined))
+
+
 def spans(text: Column, pattern: str, before: int = 0) -> Column:
     """All matches as array<struct<start,end,text,before>>, in code points; `before` characters of what precedes, if asked for."""
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     found = F.filter(found, lambda e: e.hit.isNotNull())
 
-    def step(at: Column, e: Column) -> Column:
-        start = at.pos + F.length(e.gap)
-        end = start + F.length(e.hit)
+    def placed(hits: Column) -> Column:
+        at = running(F.transform(hits, lambda e: F.length(e.gap) + F.length(e.hit)), lambda x, y: x + y, 0)
+        return let(at, lambda p: F.transform(hits, lambda e, i: span(e, F.get(p, i) + F.length(e.gap))))
+
+    def span(e: Column, start: Column) -> Column:
         head = F.when(F.length(e.gap) > before, F.right(e.gap, F.lit(before))).otherwise(e.gap) if before else F.lit("")
-        span = F.struct(start.alias("start"), end.alias("end"), e.hit.alias("text"), head.alias("before"))
-        return F.struct(end.alias("pos"), F.array_append(at.out, span).alias("out")).cast(SPAN)
+        return F.struct(start.alias("start"), (start + F.length(e.hit)).alias("end"), e.hit.alias("text"), head.alias("before"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(SPAN)
-    return F.aggregate(found, zero, step, lambda at: at.out)
+    return let(found, placed)
+
+
+def clear(taken: Column, base: Column) -> Column:
+    """Those of some spans (array<struct<start,kind,end>>) that overlap none of the base."""
+    lowest = -(2**31) + 1
+    events = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b.start.alias("s"), F.lit(-1).alias("kind"), b.end.alias("e"))), F.transform(taken, lambda t: F.struct(t.start.alias("s"), t.kind.alias("kind"), t.end.alias("e")))))
+
+    def outside(all_: Column) -> Column:
+        # The furthest end of a base span that starts no later, and the nearest start of one that starts later.
+        ends = running(F.transform(all_, lambda x: F.when(x.kind < 0, x.e).otherwise(0)), F.greatest, 0)
+        starts = running(F.transform(F.reverse(all_), lambda x: F.when(x.kind < 0, -x.s).otherwise(lowest)), F.greatest, lowest)
+        free = lambda x, i, e, s: (x.kind >= 0) & (F.get(e, i) <= x.s) & (-F.get(s, F.size(all_) - 1 - i) >= x.e)
+        kept = let(ends, lambda e: let(starts, lambda s: F.filter(all_, lambda x, i: free(x, i, e, s))))
+        return F.transform(kept, lambda x: F.struct(x.s.alias("start"), x.kind.alias("kind"), x.e.alias("end")))
+
+    return F.when((F.size(taken) == 0) | (F.size(base) == 0), taken).otherwise(let(events, outside))
 
 
 def n_digits(x: Column) -> Column:
@@ -110,7 +158,7 @@ def candidates(text: Column) -> Column:
 
     def trim(s: Column) -> Column:
         lead = F.regexp_extract(s.text, r"^((?:[A-Za-z_-]{1,30}[=:])?[\"'(\[<{]*)", 1)
-        core = F.regexp_replace(F.substring(s.text, F.length(lead) + 1, F.length(s.text)), r"[\"')\]>},;:!?.#&%$*]++$", "")
+        core = F.regexp_replace(F.substring(s.text, F.length(lead) + 1, F.length(s.text)), f"(?<!{AFTER}){AFTER}++$", "")
         start = s.start + F.length(lead)
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), F.concat(s.before, lead).alias("before"))
 
@@ -133,7 +181,7 @@ def votes(core: Column, before: Column) -> dict[str, Column]:
         "gazetteer": _vote(prefix, core.rlike(LINKS)),
         "context": _vote(before.rlike(BEFORE), before.rlike(COUNTED)),
         "mix": _vote((F.length(core) >= 16) & (n_digits(core) >= 4) & (letters >= 4), F.length(core) < 8),
-        "words": _vote(never, core.rlike("[A-Za-z]{2,}[.,;:!?|]+[A-Za-z]{2,}") | core.rlike(r"[^\x00-\x7F]") | (n_digits(core) * 5 < F.length(core))),
+        "words": _vote(never, core.rlike(WORDS) | core.rlike(r"[^\x00-\x7F]") | (n_digits(core) * 5 < F.length(core))),
     }
 
 
@@ -199,12 +247,17 @@ def _encode(vote: tuple[int, ...], extra: tuple[int, ...]) -> list[float]:
     return [float(v == 1) for v in vote] + [float(v == -1) for v in vote] + [float(e) for e in extra]
 
 
-def learn_classifier(docs: DataFrame) -> list[float]:
-    """The span classifier's weights, from the votes on all candidates of all documents."""
-    text = F.coalesce("text", F.lit(""))
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, base (array of struct<start,kind,end>, sorted), n_email, n_ip, n_card, n_phone and described candidates c of docs (doc_id, text)."""
+    based = base_spans(docs)
+    return based.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sort_array(F.concat(*BASE)).alias("base"), described(candidates(F.col("text"))).alias("c"))
+
+
+def learn_classifier(found: DataFrame) -> list[float]:
+    """The span classifier's weights, from the votes on all candidates of all prepared documents."""
     names = (*LABELLERS, *FEATURES)
-    found = docs.select(F.explode(described(candidates(text))).alias("c"))
-    counted = found.groupBy(*(F.col(f"c.{k}").alias(k) for k in names)).count().orderBy(*names).collect()  # at most 3^5 * 2^4 rows
+    each = found.select(F.explode("c").alias("c"))
+    counted = each.groupBy(*(F.col(f"c.{k}").alias(k) for k in names)).count().orderBy(*names).collect()  # at most 3^5 * 2^4 rows
     merged: dict[tuple[int, ...], int] = {}
     for r in counted:
         vote = tuple(r[k] for k in LABELLERS)
@@ -229,15 +282,22 @@ def accepts(weights: list[float], c: Column, threshold: float) -> Column:
     return z >= math.log(threshold / (1 - threshold))
 
 
-def find_pii(docs: DataFrame, weights: list[float], threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, base (array of struct<start,kind,end>) and found (base and secrets), sorted."""
-    based = base_spans(docs)
-    based = based.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.array_sort(F.concat(*BASE)).alias("base"), described(candidates(F.col("text"))).alias("c"))
-    free = lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (b.end > s.start))
-    taken = F.filter("c", lambda s: accepts(weights, s, threshold) & free(s))
-    more = F.transform(taken, lambda s: F.struct(s.start.alias("start"), F.lit(len(BASE)).alias("kind"), s.end.alias("end")))
-    based = based.select("doc_id", *(f"n_{k}" for k in BASE), "base", more.alias("more"))
-    return based.select("doc_id", *(f"n_{k}" for k in BASE), F.size("more").cast("long").alias("n_secret"), "base", F.array_sort(F.concat("base", "more")).alias("found"))
+def add_secrets(found: DataFrame, weights: list[float], threshold: float = 0.8) -> DataFrame:
+    """Prepared documents: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base and found (base and secrets), sorted."""
+    taken = F.transform(F.filter("c", lambda s: accepts(weights, s, threshold)), lambda s: F.struct(s.start.alias("start"), F.lit(len(BASE)).alias("kind"), s.end.alias("end")))
+    counts = [f"n_{k}" for k in BASE]
+    out = found.select("doc_id", *counts, "base", taken.alias("taken"))
+    out = out.select("doc_id", *counts, "base", clear(F.col("taken"), F.col("base")).alias("more"))
+    return out.select("doc_id", *counts, F.size("more").cast("long").alias("n_secret"), "base", F.sort_array(F.concat("base", "more")).alias("found"))
+
+
+def find_pii(docs: DataFrame, weights: list[float] | None = None, threshold: float = 0.8) -> DataFrame:
+    """The spans of docs (doc_id, text), see add_secrets; without weights, those learned from the same documents."""
+    found = prepared(docs)
+    if weights is None:
+        found = cut(found)
+        weights = learn_classifier(found)
+    return add_secrets(found, weights, threshold)
 
 
 def written(found: str) -> Column:
@@ -246,6 +306,5 @@ def written(found: str) -> Column:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_pii(docs, learn_classifier(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"), "n_secret")
+    found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"), "n_secret", F.size("found").cast("long").alias("n_spans"))
