@@ -10,7 +10,8 @@ Template: `<|im_start|>role`, newline, text, `<|im_end|>`, newline. Inside roles
 are some already) follows the first character of anything that reads as a control string; newlines and backslashes of
 roles are escaped too. The escape is undone exactly by `unescape`.
 
-Edge cases: null roles and texts are empty; a parent that is not there makes its reply a root; rows of one tree with
+Edge cases: null roles and texts are empty; an empty text is a turn like others, and texts of any length are written whole; equal scores
+are ordered by leaf, and repeated rows are a turn each; other columns are ignored; a parent that is not there makes its reply a root; rows of one tree with
 equal ids raise nothing and are ordered by role and text; null tree ids form one tree; cycles of
 replies raise an error; an empty table gives an empty result.
 """
@@ -190,3 +191,26 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
     messages = cut(conversation_messages(conversations))
     return format_trees(messages).mapInArrow(digests(), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+def _escaped_length(value: str) -> str:
+    """DuckDB: the code points of an escaped text: one backslash more for everything that reads as a control string."""
+    return f"(length({value}) + len(regexp_extract_all({value}, '[<\\[]\\\\*(\\||/?s>|/?INST\\]|/?SYS>)')))"
+
+
+def _escaped_role(role: str) -> str:
+    return f"replace(replace({role}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')"
+
+
+#: DuckDB; ties of turn as in the operator.
+OP2_SQL = f"""
+WITH message AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{FORGED}', 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}', 'assistant', '{FORGED}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, r NULLS FIRST, x NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START) + len(END) + 2} + {_escaped_length(_escaped_role("role"))} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars
+FROM message GROUP BY conv_id
+"""

@@ -3,11 +3,13 @@
 Hierarchical residual packing: each partition packs its own pieces best-fit decreasing
 and emits the bins that are nearly full; the underfull bins are items of the next round,
 where fewer, larger groups of them are packed again, until one group is left or a round
-gains nothing. Every task holds a bounded number of items. Nothing is dropped: bins that
-never fill are emitted as they are.
+gains nothing. A group is packed twice, with its underfull bins as whole items and, beyond the plain method, with
+their members as loose items; the way that needs fewer bins is taken (`loose` turns the second one off).
+Every task holds a bounded number of items. Nothing is dropped: bins that never fill are emitted as they are.
 
-Edge cases: null and empty texts are one token (the end id); repeated rows are packed
-once each; an empty table gives an empty result; further columns of the input are ignored.
+Edge cases: null and empty texts are one token (the end id); repeated rows, and rows without an id, are packed
+once each; items of equal length are ordered by document and piece; a text of any length is tokenised whole, and cut only after that;
+an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,22 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def ranked_by_merges(told: dict) -> bool:
+    """Whether the ids of a vocabulary stand for its merges: every token of several bytes is made by one merge, merges come in
+    the order of their ids, and nothing else bears on the result."""
+    model, added = told["model"], {t["content"] for t in told["added_tokens"]}
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return False
+    vocab = {token: i for token, i in model["vocab"].items() if token not in added}
+    byte = byte_of_char()
+    if any(c not in byte for token in vocab for c in token):
+        return False
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab.get(token, -1) for token in made]
+    single = [i for token, i in vocab.items() if len(token) == 1]
+    return all(a < b for a, b in zip([max(single, default=-1), *ids], ids)) and len(made) + len(single) == len(vocab) and len(single) == 256
+
+
 class TokenBytes:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -58,7 +76,7 @@ class TokenBytes:
         self.added = [t["content"] for t in told["added_tokens"]]
         pre, byte = told["pre_tokenizer"] or {}, byte_of_char()
         self.fast = None
-        if told["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
+        if told["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and ranked_by_merges(told):
             ranks = {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in self.added}
             self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
@@ -145,17 +163,17 @@ def first_round(path: str, size: int, full: int, block: int):
     return run
 
 
-def next_round(size: int, full: int, block: int):
-    """Pack underfull bins again: whole if that does better, else with their members loose."""
+def next_round(size: int, full: int, block: int, loose: bool):
+    """Pack underfull bins again: as whole items, or with their members loose if that is allowed and makes fewer bins."""
 
     def run(batches):
         bins: list[tuple[int, list]] = []
 
         def flush():
             bins.sort(key=_order)
-            loose = best_fit(sorted(((m[3], [m]) for _, members in bins for m in members), key=_order), size)
-            whole = best_fit(bins, size)
-            best = min(loose, whole, key=len)
+            best = best_fit(bins, size)
+            if loose:
+                best = min(best_fit(sorted(((m[3], [m]) for _, members in bins for m in members), key=_order), size), best, key=len)
             for k in range(0, len(best), 2000):
                 yield _batch(best[k : k + 2000], full)
             bins.clear()
@@ -171,7 +189,7 @@ def next_round(size: int, full: int, block: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, slack: float = 0.01, block: int = 50_000, shrink: float = 0.95) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, slack: float = 0.01, block: int = 50_000, shrink: float = 0.95, loose: bool = True) -> DataFrame:
     """Pack every document of `docs` (doc_id, text) into sequences of at most `max_tokens` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A bin within `slack`
@@ -190,7 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048,
             done.append(open_bins)
             break
         before, parts = n, -(-2 * n // block)
-        state = cut(open_bins.repartition(parts).mapInArrow(next_round(max_tokens, full, block), BIN))
+        state = cut(open_bins.repartition(parts).mapInArrow(next_round(max_tokens, full, block, loose), BIN))
     sequences = done[0]
     for more in done[1:]:
         sequences = sequences.unionByName(more)

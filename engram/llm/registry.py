@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
+    "op2_chat_formatting": chat.OP2_SQL,
     "op3_url_filters": url_filter.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,

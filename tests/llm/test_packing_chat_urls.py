@@ -25,6 +25,31 @@ def test_tokens_are_the_tokenizers(tokens, spark, data):
     assert all(tokens.encode(t) == tokens.exact(t) for t in texts)
 
 
+def test_only_vocabularies_in_order_of_merges_take_the_fast_way():
+    import copy
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as file:
+        told = json.load(file)
+    assert packing.ranked_by_merges(told)
+    other = copy.deepcopy(told)
+    other["model"]["merges"][5:7] = other["model"]["merges"][5:7][::-1]
+    assert not packing.ranked_by_merges(other)
+    told["model"]["ignore_merges"] = True
+    assert not packing.ranked_by_merges(told)
+
+
+def test_registered_packing(spark, data, tokens):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert_packed(packing.op8_best_fit_packing(spark, data).collect(), texts, tokens, 2048)
+
+
+def test_whole_underfull_bins_only(spark, data, tokens):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(docs.repartition(5), packing.tokenizer_path(), 512, loose=False).collect()
+    assert_packed(rows, {r["doc_id"]: r["text"] for r in docs.collect()}, tokens, 512)
+
+
 def assert_packed(rows, texts, tokens, size):
     """Round trip: each sequence is gapless, each document's pieces are its ids."""
     by_sequence, by_doc = {}, {}

@@ -41,6 +41,14 @@ def test_stages_with_awkward_rows(spark, data):
     assert kept.count(1) == 1 and 2 not in kept and 3 not in kept and None in kept
 
 
+def test_near_duplicate_stage_with_equal_or_no_ids(spark, data):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " more"), (2, c), (None, b), (None, b), (None, a), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = pipeline.near_duplicates(spark, docs, data).collect()
+    assert sorted(map(repr, kept)) == sorted(map(repr, docs.filter(f"text = '{c}' or text is null").collect() + docs.limit(1).collect() + [r for r in docs.collect() if r["doc_id"] is None and r["text"] == b][:1]))
+
+
 def test_run(spark, data):
     out = pipeline.run(spark, data)
     assert out.count() > 0 and out.filter("length > 2048 or offset < 0").count() == 0
