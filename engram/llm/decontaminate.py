@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, cut, matched, read
-from .shingles import WordHasher, minima, shingles
+from .shingles import WordHasher, minima, shingles, tidy
 
 UNIT = 16
 #: Words of the bit table, 64 bits each.
@@ -158,7 +158,7 @@ def search(items: Items):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-    return run
+    return tidy(run)
 
 
 def drop(items: Items, text: int):
@@ -172,7 +172,7 @@ def drop(items: Items, text: int):
                 keep[row] = False
             yield pa.record_batch([batch.column(0).filter(pa.array(keep))], ["row"])
 
-    return run
+    return tidy(run)
 
 
 def item_sets():
@@ -243,7 +243,7 @@ def keys_of_documents(parts: list[int], values: int, table: np.ndarray):
                         cols = [pa.array(names[0][at]), pa.array(names[1][at]), pa.array(np.full(len(at), part, np.int32)), pa.array(asked.view(np.int64))]
                         yield pa.record_batch(cols, ["t1", "t2", "part", "key"])
 
-    return run
+    return tidy(run)
 
 
 def verified(threshold: float):
@@ -266,7 +266,7 @@ def verified(threshold: float):
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["t1", "t2", "uid", "item_id", "n_shared", "n_item"])
 
-    return run
+    return tidy(run)
 
 
 def text_key(text: Column) -> list[Column]:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read
+from .shingles import pieces, tidy
 
 SLICE = re.compile(r".{1,400000}\S*", re.S)
 GRAM_SIZES = (3, 4)
@@ -96,7 +97,7 @@ def count_grams():
                     gram, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    return run
+    return tidy(run)
 
 
 #: Languages in one table of the filter.
@@ -195,10 +196,12 @@ def identify(filter_: Filter):
     def run(batches):
         is_letter = letters()
         for batch in batches:
-            pred, share, cover = judged(filter_, batch.column(2).to_pylist(), is_letter)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(share), pa.array(cover)], ["doc_id", "held_out", "lang_pred", "score", "coverage"])
+            for a, b, texts in pieces(batch.column(2)):
+                pred, share, cover = judged(filter_, texts, is_letter)
+                own = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+                yield pa.record_batch([*own, pa.array(pred, pa.string()), pa.array(share), pa.array(cover)], ["doc_id", "held_out", "lang_pred", "score", "coverage"])
 
-    return run
+    return tidy(run)
 
 
 def keep_language(filter_: Filter, least_coverage: float, text: int):
@@ -207,11 +210,13 @@ def keep_language(filter_: Filter, least_coverage: float, text: int):
     def run(batches):
         is_letter = letters()
         for batch in batches:
-            pred, _, cover = judged(filter_, batch.column(0).flatten()[text].to_pylist(), is_letter)
-            keep = [p != "und" and c >= least_coverage for p, c in zip(pred, cover)]
+            keep = []
+            for _, _, texts in pieces(batch.column(0).flatten()[text]):
+                pred, _, cover = judged(filter_, texts, is_letter)
+                keep += [p != "und" and c >= least_coverage for p, c in zip(pred, cover)]
             yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
 
-    return run
+    return tidy(run)
 
 
 def predict_language(docs: DataFrame, filter_: Filter, held_out: Column | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, bounded, cut, read
 from .components import components
-from .shingles import WordHasher, minima, mixed, shingles
+from .shingles import WordHasher, minima, mixed, shingles, tidy
 
 BANDS, ROWS = 30, 6
 SIGNATURE = "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"
@@ -67,7 +67,7 @@ def sign(bands: int, rows: int, size: int):
             sets = [pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]
             yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), *sets, pa.array(values, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n_shingles", "set1", "set2", "bands"])
 
-    return run
+    return tidy(run)
 
 
 def first_here(bucket: int, buckets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def verify(threshold: float, size: int):
             close(at, members, out)
         yield _links(out)
 
-    return run
+    return tidy(run)
 
 
 def _links(rows):
@@ -183,15 +183,14 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     order = F.struct("c", "bucket")
     largest = rows.groupBy("cid").agg(F.max(order).alias("top")).select("cid", F.col("top.bucket").alias("top"))
     needed = rows.join(largest, "cid").groupBy("bucket").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b or a = bucket")
-    needed = cut(needed.select("bucket"))
-    return rows.join(bounded(needed), "bucket", "left_semi")
+    return rows.join(needed.select("bucket"), "bucket", "left_semi")
 
 
 def verified_links(docs: DataFrame, classes: DataFrame, threshold: float, size: int, cell: int, weight: int) -> DataFrame:
     """(cid, n_links, root): similar classes, see steps 3 and 4."""
     met = cut(shared_buckets(classes.select("cid", "bands")).join(classes.select("cid", "n", "n_shingles", "t"), "cid"))
     blocks = F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n_shingles") / weight)).cast("int")
-    rows = met.join(bounded(cut(met.groupBy("bucket").agg(blocks.alias("blocks")))), "bucket")
+    rows = met.join(met.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
     rows = rows.select("cid", F.struct("bucket", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("blk"), "blocks").alias("place"))
     # One row per class that meets others, with all its buckets (at most one per band), and the key of one of its texts.
     places = rows.groupBy("cid").agg(F.collect_list("place").alias("places"))
@@ -228,7 +227,7 @@ def join_similar(
     links = cut(verified_links(docs, classes, threshold, size, cell, weight))
     similar = links.groupBy("cid").agg(F.sum("n_links").alias("more"))
     near = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    near = cut(near.select(F.col("u").alias("cid"), F.col("v").alias("class")).join(classes.select("cid", "rep"), "cid"))
+    near = near.select(F.col("u").alias("cid"), F.col("v").alias("class")).join(classes.select("cid", "rep"), "cid")
     names = near.groupBy("class").agg(F.min("rep").alias("name"))
     near = cut(near.join(names, "class").join(similar, "cid").select("cid", "class", "name", "more"))
     named = classes.select("set1", "set2", "rep", "n", "cid").join(bounded(near), "cid", "left")

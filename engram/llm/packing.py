@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read
+from .shingles import pieces, tidy
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 BIN = f"closed boolean, fill long, members array<{MEMBER}>"
@@ -154,13 +155,15 @@ def first_round(path: str, size: int, full: int, block: int):
             items.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                items += [(p[3], [p]) for p in cut_document(doc_id, tokens.encode(text or "") + bytes(4), size)]
-                if len(items) >= block:
-                    yield from flush()
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in pieces(batch.column(1)):
+                for doc_id, text in zip(ids[a:b], texts):
+                    items += [(p[3], [p]) for p in cut_document(doc_id, tokens.encode(text or "") + bytes(4), size)]
+                    if len(items) >= block:
+                        yield from flush()
         yield from flush()
 
-    return run
+    return tidy(run)
 
 
 def next_round(size: int, full: int, block: int, loose: bool):

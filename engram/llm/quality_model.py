@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read
-from .shingles import WordHasher
+from .shingles import WordHasher, tidy
 
 BITS = 18
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +84,7 @@ def train(bits: int, alike: bool, epochs: int, max_words: int, alpha: float, bet
                 model.learn(np.append(at, 1 << bits), np.append(n / np.sqrt(max(len(index), 1)), 1.0), y)
         yield pa.record_batch([pa.array([model.weights().astype(np.float32).tolist()], pa.list_(pa.float32()))], ["w"])
 
-    return run
+    return tidy(run)
 
 
 def fit(
@@ -115,7 +115,7 @@ def score(weights: np.ndarray, bits: int, alike: bool = True):
                 z[a:b] = weights[-1] + (sums[starts[1:]] - sums[starts[:-1]]) / np.sqrt(np.maximum(np.diff(starts), 1))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], ["doc_id", "held_out", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, held_out: Column | None = None, threshold: float = 0.7, alike: bool = True) -> DataFrame:

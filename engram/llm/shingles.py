@@ -6,6 +6,8 @@ and not the batch, and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +42,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def pieces(column: pa.Array, most: int = 4_000_000):
+    """(first, last, texts) of a string column, about `most` bytes at a time."""
+    _, at = text_bytes(column)
+    for a, b in chunks(at, most):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
+def tidy(run):
+    """A function for mapInArrow that, when its partition ends, gives memory which it doesn't need any more back to the system: the
+    worker lives on and waits for its next task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 class WordHasher:
     """64-bit hashes of words: a polynomial over one random number per byte, taken from running sums, then mixed."""
 
