@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import RELATIONSHIPS
 
@@ -63,6 +64,11 @@ class Tables:
     vectors: DataFrame
     timeline: DataFrame
 
+    def with_string_ids(self) -> Tables:
+        """The same with ids as strings, which extracted entities need."""
+        text = lambda df, *names: df.withColumns({c: F.col(c).cast("string") for c in names})
+        return Tables(text(self.memories, "id"), text(self.edges, "src", "dst"), text(self.vectors, "id"), text(self.timeline, "key"))
+
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
