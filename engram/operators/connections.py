@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import entity_content
 from ..functions.vectors import depth_score
 from ..schema import MAX_ENTITIES, MAX_RELATIONSHIPS, RELATIONSHIPS, clamp
+from .ann import ClusteredIndex
 from .filters import live
 from .graph import bfs
 from .vector import knn_batch, similarity_join
@@ -58,20 +59,28 @@ def without_linked(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
-def discover_connections(memories: DataFrame, vectors: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBORS, block: int = 2048) -> DataFrame:
-    """similar_to edges from every live record to its k best live neighbours of a score of `threshold` or more, but those linked already."""
+def discover_connections(memories: DataFrame, vectors: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBORS, block: int = 16_384, approximate: bool = False) -> DataFrame:
+    """similar_to edges from every live record to its k best live neighbours of a score of `threshold` or more, but those linked already.
+
+    Exact by default, with work that grows with the square of the records; `approximate` compares a record with the clusters next to it only.
+    """
     usable = vectors.join(live(memories).select("id"), "id", "left_semi")
-    found = similarity_join(usable, threshold, k, block)
+    found = ClusteredIndex.build(usable).links(threshold, k) if approximate else similarity_join(usable, threshold, k, block)
     return without_linked(found, edges).select("src", "dst", F.lit("similar_to").alias("edge_type"), F.col("score").alias("weight"))
 
 
-def auto_discover(id_, memories: DataFrame, vectors: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBORS) -> DataFrame:
-    """The same for one record."""
+def discover_for(ids: list, memories: DataFrame, vectors: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBORS) -> DataFrame:
+    """The same for some records, all at once."""
     usable = vectors.join(live(memories).select("id"), "id", "left_semi")
-    found = knn_batch(usable, vectors.filter(F.col("id") == id_), k).filter(F.col("score") >= threshold)
+    found = knn_batch(usable, usable.filter(F.col("id").isin(ids)), k).filter(F.col("score") >= threshold)
     return without_linked(found, edges).select("src", "dst", F.lit("similar_to").alias("edge_type"), F.col("score").alias("weight"))
 
 
+def auto_discover(id_, memories: DataFrame, vectors: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBORS) -> DataFrame:
+    """The same for one record."""
+    return discover_for([id_], memories, vectors, edges, threshold, k)
+
+
 def checked_connections(requests: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (src, dst, edge_type, weight): valid ones with clamped strength, and the others with an `error`."""
     ids = live(memories).select("id", F.lit(True).alias("there"))

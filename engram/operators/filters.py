@@ -67,3 +67,9 @@ def metadata_equals(key: str, value: str, column: str = "metadata") -> Column:
 def related_to(rows: DataFrame, reached: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key a traversal (node, ...) reached; the start node counts."""
     return rows.join(reached.select(F.col("node").alias(key)).distinct(), key, "left_semi")
+
+
+def existing(ids: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, found): whether each of some ids has a live record."""
+    there = live(memories).select("id").distinct().withColumn("_there", F.lit(True))
+    return ids.select("id").distinct().join(there, "id", "left").select("id", F.col("_there").isNotNull().alias("found"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DAY_MS, clamp
+from .graph import remove_nodes
 
 PROMOTE_ACCESSES = 3
 DECAY_PER_DAY = 0.995
@@ -92,29 +93,43 @@ def recall(memories: DataFrame, now_ms: int, ids: Column) -> DataFrame:
     )
 
 
+LIMITS = {"importance": (0.0, 1.0), "emotional_valence": (-1.0, 1.0), "arousal": (0.0, 1.0), "health": (0.0, 100.0)}
+
+
+def one_patch(patches: DataFrame) -> DataFrame:
+    """One row per id: of each column the last value that isn't null, by `seq` if the patches have it, else the largest."""
+    order = [F.col("seq")] if "seq" in patches.columns else []
+    names = [c for c in patches.columns if c not in ("id", "seq")]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v")))).getField("v").alias(c) for c in names]
+    return patches.filter("id is not null").groupBy("id").agg(*last)
+
+
 def update(memories: DataFrame, edges: DataFrame, patches: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Patches (id and any of content, tags, importance, emotional_valence, arousal, source) where not null; new content drops a record's edges both ways."""
+    """Patches (id and any of content, tags, importance, emotional_valence, arousal, source) where not null; new content drops a
+    record's edges both ways. Several patches of an id act as one, see one_patch; unknown and archived ids are left alone."""
+    patches = one_patch(patches)
     names = [c for c in patches.columns if c != "id"]
     renamed = patches.select("id", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
-    limits = {"importance": (0.0, 1.0), "emotional_valence": (-1.0, 1.0), "arousal": (0.0, 1.0), "health": (0.0, 100.0)}
     joined = memories.join(renamed, "id", "left")
-    new = {c: F.coalesce(clamp(f"_{c}", *limits[c]) if c in limits else F.col(f"_{c}"), F.col(c)) for c in names}
+    new = {c: F.coalesce(clamp(f"_{c}", *LIMITS[c]) if c in LIMITS else F.col(f"_{c}"), F.col(c)) for c in names}
     hit = F.col("_hit") & ~F.col("archived")
     out = joined.select(*(F.when(hit, F.lit(now_ms) if c == "updated_at" else new[c]).otherwise(F.col(c)).cast(memories.schema[c].dataType).alias(c) if c in new or c == "updated_at" else F.col(c) for c in memories.columns))
     if "content" not in names:
         return out, edges
-    changed = joined.filter(hit & F.col("_content").isNotNull() & (F.col("_content") != F.col("content"))).select(F.col("id").alias("node"))
-    from .graph import remove_nodes
+    return out, remove_nodes(edges, rewritten(memories, patches).select(F.col("id").alias("node")))
+
 
-    return out, remove_nodes(edges, changed)
+def rewritten(memories: DataFrame, patches: DataFrame) -> DataFrame:
+    """id and new content of the live records whose content the patches change."""
+    new = one_patch(patches).select("id", F.col("content").alias("new"))
+    changed = memories.filter(~F.col("archived")).select("id", "content").join(new, "id").filter(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("content")))
+    return changed.select("id", F.col("new").alias("content"))
 
 
 def delete(memories: DataFrame, edges: DataFrame, ids: DataFrame, now_ms: int, hard: bool = False) -> tuple[DataFrame, DataFrame]:
     """Soft: archive, and restart the clean-up clock. Hard: drop records and their edges. Unknown ids do nothing."""
     gone = ids.select("id").distinct()
     if hard:
-        from .graph import remove_nodes
-
         return memories.join(gone, "id", "left_anti"), remove_nodes(edges, gone.withColumnRenamed("id", "node"))
     flagged = memories.join(gone.withColumn("_hit", F.lit(True)), "id", "left")
     out = _apply(flagged, F.col("_hit"), archived=F.lit(True), updated_at=F.lit(now_ms))

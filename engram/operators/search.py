@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import matched_tokens, query_tokens
+from ..functions.tokens import index_tags, matched_tokens, query_tokens
 from ..functions.vectors import depth_score
 from . import fusion
 from .filters import live
 from .graph import bfs
-from .tags import search_or_scored, tag_postings
-from .vector import scored, top_k
+from .tags import search_or_scored, tag_postings, valid_query
+from .vector import knn_batch, top_k
 
 MAX_LIMIT = 100
 CONTEXT_DEPTH = 2
@@ -75,19 +75,50 @@ def hybrid(memories: DataFrame, vectors: DataFrame, edges: DataFrame, query_vect
 
 def keyword(memories: DataFrame, query: str, where: Column | None = None, limit: int = 10) -> DataFrame:
     """id and score: half the summed tag scores and half the share of tokens in the content; records that match by
-    content alone count only while fewer than `limit` records match by a tag."""
+    content alone count only while fewer than `limit` records match by a tag.
+
+    Scores are computed within each record; the number of tag matches is one row, from the tag columns alone.
+    """
     tokens = query_tokens(query)
     limit = min(limit, MAX_LIMIT)
     rows = live(memories).filter(F.lit(True) if where is None else where)
+    t = tag_score(tokens)
     share = matched_tokens(F.col("content"), tokens) / F.lit(float(max(len(tokens), 1)))
-    tags = search_or_scored(tag_postings(rows), tokens).select(F.col("key").alias("id"), F.col("score").alias("t"))
-    both = rows.select("id", share.alias("c")).join(tags, "id", "left")
-    tagged = both.filter("t > 0").agg(F.count("*").alias("n_tagged"))
-    both = both.crossJoin(F.broadcast(tagged))  # one row
+    tagged = rows.agg(F.count_if(t > 0).alias("n_tagged"))
+    both = rows.select("id", share.alias("c"), t.alias("t")).crossJoin(F.broadcast(tagged))  # one row
     score = F.when(F.col("t") > 0, 0.5 * F.col("t") + 0.5 * F.col("c")).when((F.col("n_tagged") < limit) & (F.col("c") > 0), F.col("c"))
     return both.select("id", F.round(score, 6).alias("score")).filter("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def tag_score(tokens: list[str]) -> Column:
+    """How many of the tokens, duplicates counted, a record has as index tags: the sum that postings of score 1 give."""
+    wanted = valid_query(tokens)
+    return sum((F.array_contains(index_tags(), t).cast("double") * wanted.count(t) for t in sorted(set(wanted))), F.lit(0.0))
+
+
+def hybrid_batch(memories: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, rrf_k: int = fusion.RRF_K) -> DataFrame:
+    """qid, id, score and source: the hybrid search of many queries (qid, embedding, text) in one job.
+
+    Each query has a vector and a tag list as in `hybrid`, found by one batch of nearest neighbours and one join of query words
+    with postings; lists are ranked and fused per query.
+    """
+    limit = min(limit, MAX_LIMIT)
+    k = pool_size(limit)
+    near = knn_batch(vectors, queries.select(F.col("qid").alias("id"), "embedding"), k, skip_self=False)
+    near = near.select(F.col("src").alias("qid"), F.col("dst").alias("key"), "score", F.lit("vector").alias("source"), "rank")
+    words = queries.select("qid", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("token"))
+    words = words.groupBy("qid", "token").agg(F.count("*").cast("double").alias("times"))
+    hits = words.join(tag_postings(memories), "token").groupBy("qid", "key").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
+    place = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
+    hits = hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= 2 * k).withColumn("source", F.lit("tag"))
+    both = near.unionByName(hits)
+    fused = both.groupBy("qid", "key").agg(F.round(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))), 9).alias("score"), F.min("source").alias("one"), F.count("*").alias("n"))
+    pool = fused.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    kept = pool.join(live(memories).select(F.col("id").alias("key")), "key", "left_semi")
+    best = kept.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
+    return best.select("qid", F.col("key").alias("id"), "score", F.when(F.col("n") > 1, F.lit("hybrid")).otherwise(F.col("one")).alias("source"))
+
+
 def fetch_values(keys: DataFrame, memories: DataFrame) -> DataFrame:
     """Records of given keys (key, ...), each with score 1; unknown keys are left out."""
     return memories.join(keys.select(F.col("key").alias("id")).distinct(), "id", "left_semi").withColumn("score", F.lit(1.0))
@@ -110,5 +141,6 @@ def important(memories: DataFrame, limit: int = 20) -> DataFrame:
     return summaries(live(memories).orderBy(F.desc("importance"), "id").limit(limit))
 
 
-def recent(memories: DataFrame, limit: int = 20) -> DataFrame:
-    return summaries(live(memories).orderBy(F.desc("created_at"), "id").limit(limit))
+def recent(memories: DataFrame, limit: int = 20, by: str = "created_at") -> DataFrame:
+    """The newest records, or with `by` accessed_at those used last."""
+    return summaries(live(memories).orderBy(F.desc(by), "id").limit(limit))

@@ -1,4 +1,4 @@
-"""Vector search: exact top-k by a column expression, batched kNN and a similarity join in blocks, and an approximate index."""
+"""Vector search: exact top-k, batched kNN and a similarity join in blocks, all as matrix products over Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,40 +9,99 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..schema import Metric
 
 #: Scores are rounded so that ties are ties; order is by score, then key.
 DIGITS = 6
+#: The most rows that a list may have: what is made from it is broadcast.
+MAX_K = 10_000
+#: Rows of a score matrix that are in memory at once.
+STRIP = 512
 
 
 def check_dimension(vectors: DataFrame, query: Sequence[float]) -> None:
-    """An error if the stored vectors have another dimension than the query."""
+    """An error if a stored vector has another dimension than the query; one job. Searches check while they run."""
     found = vectors.filter(F.size("embedding") != len(query)).select(F.size("embedding").alias("n")).first()
     if found is not None:
         raise ValueError(f"query has {len(query)} dimensions, a vector has {found['n']}")
 
 
-def scored(vectors: DataFrame, query: Sequence[float], metric: Metric = Metric.L2, key: str = "id") -> DataFrame:
-    """key, distance and score of every vector (key, embedding) against one query."""
-    d = V.distance(metric, V.doubles("embedding"), V.literal(query))
-    rows = vectors.select(key, d.alias("distance"))
-    return rows.select(key, "distance", F.round(V.to_similarity(metric, F.col("distance")), DIGITS).alias("score"))
+def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """The vectors of an Arrow list column as rows; an error if their dimensions, or those of the query, differ."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    dim = dim if dim is not None else int(lengths[0]) if len(lengths) else 0
+    if (wrong := lengths != dim).any():
+        raise ValueError(f"expected {dim} dimensions, a vector has {lengths[wrong][0]}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def distances(metric: Metric, points: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Smaller is nearer, as in functions.vectors.distance."""
+    if metric == Metric.L2:
+        return ((points - query) ** 2).sum(1)
+    dots = points @ query
+    if metric == Metric.DOT:
+        return -dots
+    size = np.sqrt((points * points).sum(1)) * np.sqrt(query @ query)
+    return 1 - np.where(size < V.EPSILON, 0.0, dots / np.where(size < V.EPSILON, 1.0, size))
+
+
+def similarities(metric: Metric, distance: np.ndarray) -> np.ndarray:
+    score = {Metric.L2: lambda d: 1 / (1 + d), Metric.COSINE: lambda d: 1 - d, Metric.DOT: lambda d: -d}[metric](distance)
+    return np.round(score, DIGITS) + 0.0
+
+
+def scored(vectors: DataFrame, query: Sequence[float], metric: Metric = Metric.L2, key: str = "id", k: int | None = None) -> DataFrame:
+    """key, distance and score of every vector (key, embedding) against one query, or of each task's k best. Null vectors are left
+    out; a vector of another dimension is an error."""
+    asked = np.asarray([float(x) for x in query])
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            d = distances(metric, matrix(batch.column(1), len(asked)), asked)
+            found = pa.table([batch.column(0), pa.array(d), pa.array(similarities(metric, d))], [key, "distance", "score"])
+            if k is None:
+                yield from found.to_batches()
+                continue
+            found = found if best is None else pa.concat_tables([best, found])
+            best = found.take(pc.select_k_unstable(found, k, [("score", "descending"), (key, "ascending")])) if len(found) > k else found
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    schema = T.StructType([vectors.schema[key], T.StructField("distance", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    return vectors.select(key, "embedding").filter("embedding is not null").mapInArrow(run, schema)
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, metric: Metric = Metric.L2, key: str = "id") -> DataFrame:
-    """The k nearest vectors; plans as one scan and a top-k, without a full sort."""
-    return scored(vectors, query, metric, key).orderBy(F.desc("score"), key).limit(k)
+    """The k nearest vectors: one scan that keeps k rows a task, and a top-k of those; no shuffle."""
+    k = min(k, MAX_K)
+    return scored(vectors, query, metric, key, k).orderBy(F.desc("score"), key).limit(k)
+
+
+def top_k_with_values(vectors: DataFrame, records: DataFrame, query: Sequence[float], k: int, metric: Metric = Metric.L2) -> DataFrame:
+    """The k nearest vectors with score and the columns of their records (id, ...); vectors without a record are left out."""
+    found = top_k(vectors, query, k, metric).select("id", "score")  # MAX_K rows at most
+    return records.join(F.broadcast(found), "id").orderBy(F.desc("score"), "id")
 
 
 def get_vector(vectors: DataFrame, id_) -> DataFrame:
     return vectors.filter(F.col("id") == id_)
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64).reshape(len(column), -1)
+def upsert(vectors: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
+    """New vectors (id, embedding) in the place of those of the same ids, which must be unique; another dimension is an error."""
+    embedding = F.col("embedding") if dim is None else V.checked(F.col("embedding"), dim)
+    new = new.select("id", embedding.cast(vectors.schema["embedding"].dataType).alias("embedding"))
+    return vectors.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def remove(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vectors but those of some ids; unknown ids do nothing."""
+    return vectors.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,87 +120,102 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((keys[near], -score[near]))][:k]
 
 
+FOUND = "src long, dst long, score double"
+
+
 def _out(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[]] * 3
     return pa.record_batch([pa.array(np.asarray(cols[0], np.int64)), pa.array(np.asarray(cols[1], np.int64)), pa.array(np.asarray(cols[2], np.float64))], ["src", "dst", "score"])
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, skip_self: bool = True) -> DataFrame:
-    """src, dst, score and rank of the k nearest vectors (id, embedding) of every query (id, embedding).
+def _nearest(ids: np.ndarray, points: np.ndarray, keys: np.ndarray, others: np.ndarray, k: int, least: float, skip_self: bool) -> list[tuple]:
+    """(id, key, score) of the k best of the others for each point that reach `least`, strip by strip."""
+    found = []
+    for a in range(0, len(ids), STRIP):
+        score = _scores(points[a : a + STRIP], others)
+        if skip_self:
+            score[ids[a : a + STRIP, None] == keys[None, :]] = -1
+        for i, s in zip(ids[a : a + STRIP], score):
+            near = np.flatnonzero(s >= least)
+            found += [(i, keys[near[j]], s[near[j]]) for j in _best(s[near], keys[near], k)]
+    return found
 
-    Queries go to all partitions in blocks of at most `block` rows, one pass each; each task keeps k rows a query.
-    """
-    out = None
-    rows = queries.select("id", "embedding").toLocalIterator()
-    while held := [r for _, r in zip(range(block), rows)]:
-        ids, points = np.array([r["id"] for r in held], np.int64), np.array([r["embedding"] for r in held], np.float64)
-
-        def run(batches, ids=ids, points=points):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, score = batch.column(0).to_numpy(), _scores(points, _matrix(batch.column(1)))
-                if skip_self:
-                    score[ids[:, None] == keys[None, :]] = -1
-                found = [(i, keys[j], s[j]) for i, s in zip(ids, score) for j in _best(s, keys, k) if s[j] >= 0]
-                yield _out(found)
-
-        part = vectors.select("id", "embedding").filter("embedding is not null").mapInArrow(run, "src long, dst long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "src long, dst long, score double")
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each src with their rank."""
+    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 2048) -> DataFrame:
-    """src, dst, score and rank of the k best other vectors that reach `threshold`, for every vector.
 
-    Vectors are dealt into blocks and every pair of blocks is one cell, compared by a matrix product: exact, no row per
-    pair, and a task holds two blocks. Each task returns at most k rows a vector.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk")).filter("embedding is not null")
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    # A cell (i, j) finds neighbours of block i among block j.
-    left = cells.select(F.col("blk").alias("i"), F.col("other").alias("j"), F.lit(True).alias("query"), "id", "embedding")
-    right = cells.select(F.col("other").alias("i"), F.col("blk").alias("j"), F.lit(False).alias("query"), "id", "embedding")
+def compare_cells(rows: DataFrame, on: list[str], k: int, least: float = 0.0, skip_self: bool = True) -> DataFrame:
+    """src, dst and score from rows (on..., query, id, embedding): in each cell the k best others for every query."""
 
     def compare(key, table):
         table = table.combine_chunks()
-        asks = table.filter(table["query"])
-        has = table.filter(pc.invert(table["query"]))
-        ids, keys = asks["id"].to_numpy(), has["id"].to_numpy()
+        asks, has = table.filter(table["query"]), table.filter(pc.invert(table["query"]))
         found = []
-        if len(ids) and len(keys):
-            score = _scores(_matrix(asks["embedding"].combine_chunks()), _matrix(has["embedding"].combine_chunks()))
-            score[ids[:, None] == keys[None, :]] = -1
-            for i, s in zip(ids, score):
-                near = np.flatnonzero(s >= threshold)
-                found += [(i, keys[near[j]], s[near[j]]) for j in _best(s[near], keys[near], k)]
+        if len(asks) and len(has):
+            points, others = (matrix(t["embedding"].combine_chunks()) for t in (asks, has))
+            if points.shape[1] != others.shape[1]:
+                raise ValueError(f"queries have {points.shape[1]} dimensions, vectors {others.shape[1]}")
+            found = _nearest(asks["id"].to_numpy(), points, has["id"].to_numpy(), others, k, least, skip_self)
         return pa.Table.from_batches([_out(found)])
 
-    out = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "src long, dst long, score double")
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return rows.groupBy(*on).applyInArrow(compare, FOUND)
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, skip_self: bool = True) -> DataFrame:
+    """src, dst, score and rank of the k nearest vectors (id, embedding) of every query (id, embedding); exact.
+
+    At most `block` queries, which are counted first, go to all partitions of the vectors: no vector is shuffled, and each task keeps k
+    rows a query. Of more, blocks of queries meet blocks of vectors in cells, so nothing passes the driver.
+    """
+    vectors, queries = (df.select("id", "embedding").filter("embedding is not null") for df in (vectors, queries))
+    held = queries.limit(block + 1).toArrow()
+    if len(held) > block:
+        return best_of(compare_cells(_dealt(vectors, queries, 4 * block), ["i", "j"], k, skip_self=skip_self), k)
+    held = held.combine_chunks()
+    ids = held["id"].to_numpy().astype(np.int64)
+    points = matrix(held["embedding"].combine_chunks()) if len(held) else np.zeros((0, 0))
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                yield _out(_nearest(ids, points, batch.column(0).to_numpy(), matrix(batch.column(1), points.shape[1]), k, 0.0, skip_self))
 
-class LshIndex:
-    """Approximate nearest neighbours by random projections in buckets, for L2; more tables raise the recall."""
+    return best_of(vectors.mapInArrow(run, FOUND), k)
 
-    def __init__(self, vectors: DataFrame, tables: int = 8, bucket: float = 1.0, seed: int = 7):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
 
-        self._points = vectors.select("id", array_to_vector(V.doubles("embedding")).alias("point"))
-        lsh = BucketedRandomProjectionLSH(inputCol="point", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=seed)
-        self._model = lsh.fit(self._points)
-        self._hashed = self._model.transform(self._points)
+def _dealt(vectors: DataFrame, queries: DataFrame, block: int) -> DataFrame:
+    """Cells (i, j, query, id, embedding): block i of the queries with block j of the vectors."""
+    n, m = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = queries.select(own(n).alias("i"), every(m).alias("j"), F.lit(True).alias("query"), "id", "embedding")
+    has = vectors.select(every(n).alias("i"), own(m).alias("j"), F.lit(False).alias("query"), "id", "embedding")
+    return asks.unionByName(has)
 
-    def search(self, query: Sequence[float], k: int) -> DataFrame:
-        from pyspark.ml.linalg import Vectors
 
-        found = self._model.approxNearestNeighbors(self._hashed, Vectors.dense(list(query)), k, "d")
-        score = F.round(V.distance_to_score(F.col("d") * F.col("d")), DIGITS)
-        return found.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 16_384) -> DataFrame:
+    """src, dst, score and rank of the k best other vectors that reach `threshold`, for every vector.
+
+    Vectors are dealt into blocks, and each two blocks meet in one cell, which compares them by matrix products in strips: exact, no
+    row per pair, and a task holds two blocks. A vector is copied once per block. The work grows with the square of the number of vectors; `ann.ClusteredIndex.links` is the way that doesn't.
+    """
+    vectors = vectors.select("id", "embedding").filter("embedding is not null")
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cells = cells.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "embedding")
+
+    def compare(key, table):
+        i, j = (x.as_py() for x in key)
+        table = table.combine_chunks()
+        ids, points, blk = table["id"].to_numpy(), matrix(table["embedding"].combine_chunks()), table["blk"].to_numpy()
+        left, right = blk == i, blk == j
+        found = _nearest(ids[left], points[left], ids[right], points[right], k, threshold, True)
+        if i != j:
+            found += _nearest(ids[right], points[right], ids[left], points[left], k, threshold, True)
+        return pa.Table.from_batches([_out(found)])
+
+    return best_of(cells.groupBy("i", "j").applyInArrow(compare, FOUND), k)

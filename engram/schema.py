@@ -65,10 +65,10 @@ MEMORY = T.StructType(
 )
 EDGE = "src string, dst string, edge_type string, weight double, ts bigint"
 
-#: What a create request may hold; extracted entities and relationships are optional.
+#: What a create request may hold; a vector of its own, extracted entities and relationships are optional.
 CREATE = (
     "id string, content string, memory_type string, source string, tags array<string>, importance double, emotional_valence double,"
-    " arousal double, ttl bigint, graph_extraction struct<entities:array<struct<name:string,entity_type:string,description:string>>,"
+    " arousal double, health double, ttl bigint, embedding array<float>, graph_extraction struct<entities:array<struct<name:string,entity_type:string,description:string>>,"
     "relationships:array<struct<source:string,target:string,relationship_type:string,strength:double>>>"
 )
 
@@ -78,9 +78,10 @@ def clamp(value: Column | str, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(value, F.lit(high))))
 
 
-def create_errors() -> Column:
-    """Names of the limits that a create request breaks; empty for a valid one."""
-    checks = [
+def create_errors(dimension: int | None = None) -> Column:
+    """Names of the limits that a create request breaks; empty for a valid one. A dimension is checked if it is given."""
+    checks = [] if dimension is None else [("embedding_dimension", F.size("embedding") != dimension)]
+    checks += [
         ("content_blank", F.coalesce(F.trim("content"), F.lit("")) == ""),
         ("content_too_long", F.octet_length("content") > MAX_CONTENT_BYTES),
         ("too_many_tags", F.size("tags") > MAX_TAGS),
@@ -91,9 +92,9 @@ def create_errors() -> Column:
     return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks)))
 
 
-def validated(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validated(requests: DataFrame, dimension: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid requests, and the others with an `errors` column."""
-    checked = requests.withColumn("errors", create_errors())
+    checked = requests.withColumn("errors", create_errors(dimension))
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
@@ -117,7 +118,7 @@ def created(requests: DataFrame, now_ms: int) -> DataFrame:
         F.when(flash, F.greatest(importance, F.lit(FLASHBULB_IMPORTANCE))).otherwise(importance).cast("float").alias("importance"),
         F.coalesce(clamp("emotional_valence", -1.0, 1.0), F.lit(0.0)).cast("float").alias("emotional_valence"),
         arousal.cast("float").alias("arousal"),
-        F.lit(100.0).cast("float").alias("health"),
+        F.coalesce(clamp("health", 0.0, 100.0), F.lit(100.0)).cast("float").alias("health"),
         none.alias("last_recalled_at"),
         F.when(flash, now + FLASHBULB_MS).alias("flashbulb_until"),
         F.when(kind == MemoryType.SHORT.value, F.coalesce("ttl", F.lit(DEFAULT_TTL_S).cast("long"))).alias("ttl"),
