@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fusion, search, tags, timeline
+from ..operators.ann import ClusteredIndex
 from ..operators.filters import conjunction
 from ..sources.fixtures import Tables
 
@@ -20,7 +21,7 @@ MERGES = ("rrf", "weighted", "intersection", "union")
 class VectorQuery:
     vector: Sequence[float]
     k: int = 10
-    ef: int | None = None  # accepted, without effect: the search is exact
+    ef: int | None = None  # how much an approximate index looks at; an exact search ignores it
     filters: tuple[Column, ...] = ()
 
 
@@ -66,14 +67,17 @@ class HybridQuery:
 Query = VectorQuery | GraphQuery | TimeRangeQuery | TagQuery | HybridQuery
 
 
-def branch(tables: Tables, query: Query) -> tuple[str, DataFrame]:
-    """The source name and the ranked list (key, score) of a simple query."""
+def branch(tables: Tables, query: Query, index: ClusteredIndex | None = None) -> tuple[str, DataFrame]:
+    """The source name and the ranked list (key, score) of a simple query. A vector query without filters uses the index, if there is one."""
     match query:
         case VectorQuery():
             vectors = tables.vectors
             if query.filters:
                 ids = tables.memories.filter(conjunction(query.filters)).select("id")
                 vectors = vectors.join(ids, "id", "left_semi")
+            elif index is not None:
+                found = index.search(query.vector, query.k, query.ef)
+                return "vector", found.select(F.col("id").alias("key"), "score")
             return "vector", search.vector_branch(vectors, query.vector, query.k)
         case GraphQuery():
             return "graph", search.graph_branch(tables.edges, query.start, query.max_depth, query.limit, list(query.edge_types), query.direction)
@@ -85,17 +89,17 @@ def branch(tables: Tables, query: Query) -> tuple[str, DataFrame]:
     raise TypeError(f"no branch for {type(query).__name__}")
 
 
-def execute(tables: Tables, query: Query) -> DataFrame:
+def execute(tables: Tables, query: Query, index: ClusteredIndex | None = None) -> DataFrame:
     """key, score and source, best first. One part alone is not merged."""
     if not isinstance(query, HybridQuery):
-        source, rows = branch(tables, query)
+        source, rows = branch(tables, query, index)
         return rows.withColumn("source", F.lit(source)).orderBy(F.desc("score"), "key")
     parts = [p for p in (query.vector, query.tag, query.graph, query.time_range) if p is not None]
     if not parts:
         raise ValueError("a hybrid query needs a part")
     if query.merge not in MERGES:
         raise ValueError(f"merge must be one of {MERGES}")
-    lists = dict(branch(tables, p) for p in parts)
+    lists = dict(branch(tables, p, index) for p in parts)
     if len(lists) == 1:
         ((source, rows),) = lists.items()
         return rows.withColumn("source", F.lit(source)).orderBy(F.desc("score"), "key").limit(query.limit)

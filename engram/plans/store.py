@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
-from ..errors import ConflictError, NotFoundError, ValidationError
-from ..functions.embedding import embed, hashed_embedding
-from ..operators import connections, lifecycle, search, stats
+from ..errors import NotFoundError, ValidationError
+from ..functions.embedding import Embedder, QueryEmbedder, embed, hashed_embeddings
+from ..operators import connections, lifecycle, search, stats, vector
+from ..operators.ann import ClusteredIndex
 from ..operators.filters import live, record_filter
 from ..operators.graph import add_edges, neighbors, remove_edges
 from ..schema import SearchType, api_rows, created, validated
 from ..sources.fixtures import Tables
+from ..streaming.changelog import DiscoveryQueue
 from .query import Query, execute
 
 
+class KeyedLocks:
+    """A lock per key, made when it is wanted and dropped when no one holds or awaits it."""
+
+    def __init__(self):
+        self._guard, self._held = threading.Lock(), {}
+
+    @contextmanager
+    def of(self, key):
+        with self._guard:
+            lock, n = self._held.get(key, (threading.Lock(), 0))
+            self._held[key] = lock, n + 1
+        try:
+            with lock:
+                yield
+        finally:
+            with self._guard:
+                lock, n = self._held[key]
+                if n == 1:
+                    del self._held[key]
+                else:
+                    self._held[key] = lock, n - 1
+
+
 class MemoryStore:
-    """Reads are DataFrames over the current tables; writes replace the tables by derived ones. Callers persist them as snapshots."""
+    """Reads are DataFrames over the current tables; writes replace the tables by derived ones. Callers persist them as snapshots.
 
-    def __init__(self, tables: Tables, config: Config | None = None, embedder: Callable = hashed_embedding):
-        self.tables, self.config, self.embedder = tables, (config or Config()).validated(), embedder
+    Writers of one record wait for each other, and so do those that replace a table, so a read-modify-write is whole.
+    """
+
+    def __init__(self, tables: Tables, config: Config | None = None, embedder: Embedder | None = None, index: ClusteredIndex | None = None):
+        self.tables, self.config, self.index = tables, (config or Config()).validated(), index
+        self.embedder = embedder or partial(hashed_embeddings, dim=self.config.dimension)
+        self.embed_query = QueryEmbedder(self.embedder)
+        self.locks, self._write = KeyedLocks(), threading.RLock()
+        self.queue = DiscoveryQueue(self.discover, self.config.queue_size)
+
+    def _kind(self) -> T.DataType:
+        return self.tables.memories.schema["id"].dataType
+
+    def _is(self, id_, column: str = "id"):
+        return F.col(column) == F.lit(id_).cast(self._kind())
 
     # Reads.
 
+    def exists(self, id_) -> bool:
+        """Whether there is a live record."""
+        return not live(self.tables.memories).filter(self._is(id_)).isEmpty()
+
     def get(self, id_) -> DataFrame:
-        found = live(self.tables.memories).filter(F.col("id") == id_)
+        found = live(self.tables.memories).filter(self._is(id_))
         if found.isEmpty():
             raise NotFoundError(f"no record {id_}")
         return api_rows(connections.nest_connections(found, self.tables.edges))
@@ -43,7 +90,7 @@ class MemoryStore:
         where, t = record_filter(**filters), self.tables
         if kind == SearchType.KEYWORD:
             return search.keyword(t.memories, query, where, limit)
-        vector = self.embedder(query) if vector is None else vector
+        vector = self.embed_query(query) if vector is None else vector
         if kind == SearchType.HYBRID:
             return search.hybrid(t.memories, t.vectors, t.edges, vector, query, related_to, where, limit, self.config.rrf_k)
         if related_to is not None:
@@ -51,7 +98,7 @@ class MemoryStore:
         return search.semantic(t.memories, t.vectors, vector, where, limit)
 
     def query(self, query: Query) -> DataFrame:
-        return execute(self.tables, query)
+        return execute(self.tables, query, self.index)
 
     def related(self, id_, depth: int = 1, edge_types: list[str] | None = None, limit: int = 20) -> DataFrame:
         return connections.find_related(self.tables.edges, self.tables.memories, id_, depth, edge_types, limit)
@@ -75,60 +122,105 @@ class MemoryStore:
         t = self.tables
         return stats.index_counts(t.memories, t.edges, t.vectors, t.timeline)
 
+    def health(self, deep: bool = False) -> dict:
+        """Whether the store answers; deep: the seconds that each of its tables takes to give a row, and the discovery queue."""
+        found: dict = {"status": "ok", "checks": {}}
+        for name in ("memories", "edges", "vectors", "timeline") if deep else ("memories",):
+            began = time.perf_counter()
+            try:
+                getattr(self.tables, name).limit(1).collect()
+                found["checks"][name] = {"status": "ok", "seconds": round(time.perf_counter() - began, 3)}
+            except Exception as e:
+                found["status"] = "failed"
+                found["checks"][name] = {"status": "failed", "error": str(e)[:200]}
+        return found | ({"queue": self.queue.counters()} if deep else {})
+
     # Writes.
 
     def create(self, requests: DataFrame, now_ms: int) -> DataFrame:
-        """Add records for valid requests (see schema.CREATE); returns the others with their errors.
+        """Add records for valid requests (see schema.CREATE), or put them in the place of records of the same ids; returns the others with
+        their errors. A record, its vector (its own, else that of its content), its time and its tags change together, and entities
+        become records like others. Of requests of one id the largest counts.
 
         Ids must be given, or the requests be materialised: a generated id differs each time it is computed.
         """
-        good, bad = validated(requests)
-        records, t = created(good, now_ms), self.tables
-        vectors = records.select("id", embed(F.col("content"), self.embedder).alias("embedding"))
+        # Vectors of a request are held to the dimension of the store, which its settings name.
+        given = requests if "embedding" in requests.columns else requests.withColumn("embedding", F.lit(None).cast("array<float>"))
+        good, bad = validated(given, self.config.dimension)
+        if not isinstance(self._kind(), T.StringType) and not good.filter(F.size("graph_extraction.entities") > 0).isEmpty():
+            raise ValidationError("entities need string ids, see Tables.with_string_ids")
+        kept = [c for c in good.columns if c != "id"]
+        good = good.groupBy("id").agg(F.max(F.struct(*kept)).alias("r")).select("id", "r.*")
+        records = created(good, now_ms)
         entities, edges = connections.extract_graph(good, now_ms)
-        records = records.unionByName(entities, allowMissingColumns=True).fillna({"archived": False, "access_count": 0, "health": 100.0})
-        self.tables = replace(
-            t,
-            memories=_aligned(t.memories, records),
-            vectors=_aligned(t.vectors, vectors),
-            timeline=_aligned(t.timeline, records.select(F.col("id").alias("key"), F.col("created_at").alias("ts"))),
-            edges=_aligned(t.edges, edges.withColumn("seq", F.lit(now_ms))),
-        )
+        entities = entities.select("*", *(F.lit(now_ms).alias(c) for c in ("updated_at", "accessed_at")))
+        own = good.filter("embedding is not null").select("id", "embedding")
+        records = records.unionByName(entities, allowMissingColumns=True).fillna({"archived": False, "access_count": 0, "health": 100.0, "emotional_valence": 0.0, "arousal": 0.0})
+        contents = records.join(own.select("id"), "id", "left_anti")
+        vectors = own.unionByName(contents.select("id", embed(F.col("content"), self.embedder).alias("embedding")))
+        with self._write:
+            t = self.tables
+            self.tables = replace(
+                t,
+                memories=_replaced(t.memories, records, "id"),
+                vectors=_replaced(t.vectors, vectors, "id"),
+                timeline=_replaced(t.timeline, records.select(F.col("id").alias("key"), F.col("created_at").alias("ts")), "key"),
+                edges=_aligned(t.edges, edges.withColumn("seq", F.lit(now_ms))),
+            )
         return bad
 
     def update(self, patches: DataFrame, now_ms: int) -> None:
-        memories, edges = lifecycle.update(self.tables.memories, self.tables.edges, patches, now_ms)
-        vectors = self.tables.vectors
-        if "content" in patches.columns:
-            new = patches.filter("content is not null").select("id", embed(F.col("content"), self.embedder).alias("embedding"))
-            vectors = _aligned(vectors.join(new.select("id"), "id", "left_anti"), new)
-        self.tables = replace(self.tables, memories=memories, edges=edges, vectors=vectors)
+        """See lifecycle.update; new content of a live record also gets a new vector."""
+        with self._write:
+            t = self.tables
+            memories, edges = lifecycle.update(t.memories, t.edges, patches, now_ms)
+            vectors = t.vectors
+            if "content" in patches.columns:
+                new = lifecycle.rewritten(t.memories, patches)
+                vectors = _replaced(vectors, new.select("id", embed(F.col("content"), self.embedder).alias("embedding")), "id")
+            self.tables = replace(t, memories=memories, edges=edges, vectors=vectors)
 
     def recall(self, id_, now_ms: int) -> None:
-        self.tables = replace(self.tables, memories=lifecycle.recall(self.tables.memories, now_ms, F.col("id") == id_).drop("changed"))
+        with self.locks.of(id_), self._write:
+            self.tables = replace(self.tables, memories=lifecycle.recall(self.tables.memories, now_ms, self._is(id_)).drop("changed"))
 
     def promote(self, id_, now_ms: int) -> None:
-        found = self.tables.memories.filter(F.col("id") == id_)
-        if found.filter(~F.col("archived")).isEmpty():
-            raise NotFoundError(f"no record {id_}")
-        self.tables = replace(self.tables, memories=lifecycle.promote(self.tables.memories, now_ms, F.col("id") == id_).drop("changed"))
+        with self.locks.of(id_), self._write:
+            if not self.exists(id_):
+                raise NotFoundError(f"no record {id_}")
+            self.tables = replace(self.tables, memories=lifecycle.promote(self.tables.memories, now_ms, self._is(id_)).drop("changed"))
 
     def delete(self, ids: DataFrame, now_ms: int, hard: bool = False) -> None:
-        memories, edges = lifecycle.delete(self.tables.memories, self.tables.edges, ids, now_ms, hard)
-        vectors, timeline = self.tables.vectors, self.tables.timeline
-        if hard:
-            vectors = vectors.join(ids.select("id"), "id", "left_anti")
-            timeline = timeline.join(ids.select(F.col("id").alias("key")), "key", "left_anti")
-        self.tables = replace(self.tables, memories=memories, edges=edges, vectors=vectors, timeline=timeline)
+        """Soft: the record stays, archived, and its vector with it, which searches skip. Hard: it goes from every table."""
+        with self._write:
+            memories, edges = lifecycle.delete(self.tables.memories, self.tables.edges, ids, now_ms, hard)
+            vectors, timeline = self.tables.vectors, self.tables.timeline
+            if hard:
+                vectors = vector.remove(vectors, ids)
+                timeline = timeline.join(ids.select(F.col("id").alias("key")).distinct(), "key", "left_anti")
+            self.tables = replace(self.tables, memories=memories, edges=edges, vectors=vectors, timeline=timeline)
 
     def connect(self, requests: DataFrame, now_ms: int) -> DataFrame:
         """Upsert valid connections (src, dst, edge_type, weight); returns the others with their error."""
-        good, bad = connections.checked_connections(requests, self.tables.memories)
-        self.tables = replace(self.tables, edges=add_edges(self.tables.edges, good.withColumn("seq", F.lit(now_ms).cast("long"))))
-        return bad
+        with self._write:
+            good, bad = connections.checked_connections(requests, self.tables.memories)
+            self.tables = replace(self.tables, edges=add_edges(self.tables.edges, good.withColumn("seq", F.lit(now_ms).cast("long"))))
+            return bad
 
     def disconnect(self, pairs: DataFrame) -> None:
-        self.tables = replace(self.tables, edges=remove_edges(self.tables.edges, pairs))
+        with self._write:
+            self.tables = replace(self.tables, edges=remove_edges(self.tables.edges, pairs))
+
+    def discover(self, ids: list, now_ms: int | None = None) -> int:
+        """Link some records with their nearest neighbours; returns the number of new edges. The store's queue calls it for ids offered."""
+        c, now = self.config, int(time.time() * 1000) if now_ms is None else now_ms
+        with self._write:
+            t = self.tables
+            found = connections.discover_for(ids, t.memories, t.vectors, t.edges, c.discovery_threshold, c.discovery_neighbors)
+            n = found.count()
+            if n:
+                self.tables = replace(t, edges=add_edges(t.edges, found.withColumn("seq", F.lit(now).cast("long"))))
+            return n
 
 
 def _aligned(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -137,61 +229,50 @@ def _aligned(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.select(*cols))
 
 
-class TaskRegistry:
-    """The lifecycle tasks by name: run, pause, resume, history. A task does not run twice at a time."""
-
-    def __init__(self, store: MemoryStore):
-        self.store, self.paused, self.running = store, set(), set()
-        self.history: list[dict] = []
-        c = store.config
-        self.tasks: dict[str, Callable[[int], int]] = {
-            "expire_short_term": lambda now: self._sweep(lifecycle.expire_short_term(store.tables.memories, now, c.promote_accesses)),
-            "importance_decay": lambda now: self._sweep(lifecycle.importance_decay(store.tables.memories, now, c.decay_per_day)),
-            "active_forgetting": lambda now: self._sweep(lifecycle.active_forgetting(store.tables.memories, now, c.hard_forget)),
-            "consolidate_similar": lambda now: lifecycle.consolidate_similar(store.tables.memories)[1],
-            "cleanup_archived": self._cleanup,
-            "discover_connections": self._discover,
-            "stats": lambda now: store.stats().first()["total_memories"],
-        }
-
-    def run(self, name: str, now_ms: int) -> dict:
-        if name not in self.tasks:
-            raise NotFoundError(f"no task {name}")
-        if name in self.running:
-            raise ConflictError(f"{name} is running")
-        entry = {"task": name, "started_at": now_ms, "finished_at": now_ms, "status": "skipped", "affected": 0, "error": None}
-        if name not in self.paused:
-            self.running.add(name)
-            try:
-                entry |= {"status": "ok", "affected": int(self.tasks[name](now_ms))}
-            except Exception as e:
-                entry |= {"status": "failed", "affected": -1, "error": str(e)[:500]}
-            finally:
-                self.running.discard(name)
-        self.history.append(entry)
-        return entry
-
-    def pause(self, name: str) -> None:
-        self.paused.add(name)
-
-    def resume(self, name: str) -> None:
-        self.paused.discard(name)
-
-    def _sweep(self, swept: DataFrame) -> int:
-        n = swept.filter("changed").count()
-        self.store.tables = replace(self.store.tables, memories=swept.drop("changed"))
-        return n
-
-    def _cleanup(self, now: int) -> int:
-        old = self.store.tables.memories
-        gone = old.select("id").join(lifecycle.cleanup_archived(old, now, self.store.config.retention_days).select("id"), "id", "left_anti")
-        n = gone.count()
-        self.store.delete(gone, now, hard=True)
-        return n
-
-    def _discover(self, now: int) -> int:
-        t, c = self.store.tables, self.store.config
-        found = connections.discover_connections(t.memories, t.vectors, t.edges, c.discovery_threshold, c.discovery_neighbors)
-        n = found.count()
-        self.store.tables = replace(t, edges=add_edges(t.edges, found.withColumn("seq", F.lit(now).cast("long"))))
-        return n
+def _replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows in the place of those of the same keys."""
+    return _aligned(old.join(new.select(F.col(key).cast(old.schema[key].dataType).alias(key)), key, "left_anti").select(*old.columns), new)
+
+
+def _lifecycle_tasks(store: MemoryStore) -> dict[str, Callable[[int], dict[str, int]]]:
+    """The tasks by name: a function of the time that runs one and counts what it did."""
+    c = store.config
+
+    def sweep(rule: Callable[[DataFrame, int], DataFrame]) -> Callable[[int], dict[str, int]]:
+        def run(now: int) -> dict[str, int]:
+            with store._write:
+                before = store.tables.memories
+                swept = rule(before, now)
+                is_archived, n = F.col("changed") & F.col("archived"), before.count()
+                seen = swept.agg(F.count("*").alias("left"), F.count_if("changed").alias("updated"), F.count_if(is_archived).alias("archived")).first()
+                store.tables = replace(store.tables, memories=swept.drop("changed"))
+                gone = n - seen["left"]
+                return {"handled": n, "updated": seen["updated"], "archived": seen["archived"], "deleted": gone, "affected": seen["updated"] + gone}
+
+        return run
+
+    def cleanup(now: int) -> dict[str, int]:
+        with store._write:
+            old = store.tables.memories
+            gone = old.select("id").join(lifecycle.cleanup_archived(old, now, c.retention_days).select("id"), "id", "left_anti")
+            n = gone.count()
+            store.delete(gone, now, hard=True)
+            return {"deleted": n, "affected": n}
+
+    def discover(now: int) -> dict[str, int]:
+        with store._write:
+            t = store.tables
+            found = connections.discover_connections(t.memories, t.vectors, t.edges, c.discovery_threshold, c.discovery_neighbors)
+            n = found.count()
+            store.tables = replace(t, edges=add_edges(t.edges, found.withColumn("seq", F.lit(now).cast("long"))))
+            return {"found": n, "affected": n}
+
+    return {
+        "expire_short_term": sweep(lambda m, now: lifecycle.expire_short_term(m, now, c.promote_accesses)),
+        "importance_decay": sweep(lambda m, now: lifecycle.importance_decay(m, now, c.decay_per_day)),
+        "active_forgetting": sweep(lambda m, now: lifecycle.active_forgetting(m, now, c.hard_forget)),
+        "consolidate_similar": lambda now: {"affected": lifecycle.consolidate_similar(store.tables.memories)[1]},
+        "cleanup_archived": cleanup,
+        "discover_connections": discover,
+        "stats": lambda now: {"affected": store.stats().first()["total_memories"]},
+    }

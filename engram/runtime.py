@@ -33,6 +33,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, most: int = 50_000) -> tuple[DataFrame, bool]:
+    """df computed once, and whether it is empty: at most `most` rows, counted as they come, are kept in the plan itself, where joins
+    know their size; more are materialised."""
+    rows = df.limit(most + 1).toArrow()
+    if len(rows) > most:
+        return materialized(df), False
+    return df.sparkSession.createDataFrame(rows, df.schema), len(rows) == 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: for costly expressions over a scan of few files or row groups, whose
     rows would otherwise keep one core busy. A scan with partitions enough, as any large one has, stays as it is."""
