@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import tokens as T
 from .functions import vectors as V
 from .operators import changelog, connections, filters, fusion, graph, lifecycle, search, stats, tags, timeline, vector
+from .operators.ann import ClusteredIndex
 from .plans.query import GraphQuery, HybridQuery, TagQuery, TimeRangeQuery, VectorQuery, execute
-from .schema import Metric, api_rows
+from .plans.store import MemoryStore
+from .schema import CREATE, Metric, api_rows, created, validated
 from .sources.fixtures import NOW_MS, Tables, duckdb_views, load
+from .sources.tables import decode, encode
 
 PROBE, START, LIMIT, QUERY = 7, 5, 10, "en src1 b3"
 TOKENS = QUERY.split()
-T0, T1 = 1704672000000, 1705276800000
+T0, T1, T2 = 1704672000000, 1705276800000, 1706572800000
 THRESHOLD = 0.45
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,10 +122,10 @@ def _(t):
 
 @query(
     "filter_record",
-    f"SELECT id, importance, created_at FROM memories WHERE NOT archived AND memory_type = 'long_term' AND importance BETWEEN 2e-1 AND 8e-1 AND created_at BETWEEN {T0} AND {T1} AND list_has_all(tags, ['en', 'src1'])",
+    f"SELECT id, importance, created_at FROM memories WHERE NOT archived AND memory_type = 'long_term' AND importance BETWEEN 1e-1 AND 9e-1 AND created_at BETWEEN {T0} AND {T2} AND list_has_all(tags, ['en', 'b3'])",
 )
 def _(t):
-    where = filters.record_filter("long_term", 0.2, 0.8, T0, T1, ["en", "src1"])
+    where = filters.record_filter("long_term", 0.1, 0.9, T0, T2, ["en", "b3"])
     return filters.live(t.memories).filter(where).select("id", "importance", "created_at")
 
 
@@ -274,10 +278,10 @@ def _(t):
     return graph.neighbors(t.edges, START).select("dst", "edge_type", "weight")
 
 
-@query("graph_neighbors_typed", f"SELECT src, dst, weight FROM edges WHERE (src = {START} OR dst = {START}) AND edge_type = 'references'")
+@query("graph_neighbors_typed", f"SELECT src, dst, weight FROM edges WHERE (src = {START} OR dst = {START}) AND edge_type = 'supports'")
 def _(t):
-    incoming = graph.neighbors(t.edges, START, "references", "incoming").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return graph.neighbors(t.edges, START, "references").select("src", "dst", "weight").unionByName(incoming)
+    incoming = graph.neighbors(t.edges, START, "supports", "incoming").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return graph.neighbors(t.edges, START, "supports").select("src", "dst", "weight").unionByName(incoming)
 
 
 @query("graph_degree", "SELECT src, count(*) AS degree FROM edges GROUP BY src")
@@ -358,6 +362,9 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC,
 SOURCE = "CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(source) END AS source"
 
 
+GRAPH = f"""{bfs_sql("reached", 2)}, gr AS (SELECT node AS key, round(1e0 / (1 + depth), 9) AS score FROM reached WHERE depth > 0 ORDER BY 2 DESC, 1 LIMIT 60)"""
+
+
 def lists(t: Tables) -> dict[str, DataFrame]:
     return {"vector": search.vector_branch(others(t), probe(t), 30), "tag": search.tag_branch(t.memories, QUERY, 60)}
 
@@ -367,9 +374,31 @@ def _(t):
     return fusion.rrf(lists(t), 20)
 
 
-@query("fuse_weighted", f"SELECT key, round(avg(CASE WHEN high = low THEN 1e0 ELSE (score - low) / (high - low) END), 9) AS score, {SOURCE} FROM placed p GROUP BY key ORDER BY 2 DESC, key LIMIT 20", BRANCHES)
+@query(
+    "fuse_weighted",
+    f"""SELECT key, round(sum(w * CASE WHEN high = low THEN 1e0 ELSE (score - low) / (high - low) END) / sum(w), 9) AS score, {SOURCE}
+FROM (SELECT *, CASE source WHEN 'vector' THEN 2e0 WHEN 'tag' THEN 5e-1 END AS w FROM placed) p GROUP BY key ORDER BY 2 DESC, key LIMIT 20""",
+    BRANCHES,
+)
 def _(t):
-    return fusion.weighted(lists(t), 20)
+    return fusion.weighted(lists(t), 20, {"vector": 2.0, "tag": 0.5})
+
+
+@query("fuse_weighted_graph", f"""SELECT key, round(sum(w * CASE WHEN high = low THEN 1e0 ELSE (score - low) / (high - low) END) / sum(w), 9) AS score, {SOURCE}
+FROM (SELECT *, CASE source WHEN 'graph' THEN 5e-1 ELSE 1e0 END AS w, min(score) OVER (PARTITION BY source) AS low, max(score) OVER (PARTITION BY source) AS high
+  FROM (SELECT * FROM listed UNION ALL SELECT 'graph', * FROM gr)) p GROUP BY key ORDER BY 2 DESC, key LIMIT 20""", f"{BRANCHES}, {GRAPH}")
+def _(t):
+    return fusion.weighted(lists(t) | {"graph": search.graph_branch(t.edges, START, 2, 60)}, 20)
+
+
+@query("fuse_concat", "SELECT source, key, score FROM listed", BRANCHES)
+def _(t):
+    return fusion.concat(lists(t))
+
+
+@query("max_normalized", "SELECT source, key, round(score / max(score) OVER (PARTITION BY source), 9) AS score FROM listed", BRANCHES)
+def _(t):
+    return fusion.max_normalized(fusion.concat(lists(t))).withColumn("score", F.round("score", 9))
 
 
 @query("fuse_intersection", "SELECT key, round(avg(score), 9) AS score, 'hybrid' AS source FROM listed GROUP BY key HAVING count(*) = 2", BRANCHES)
@@ -382,9 +411,6 @@ def _(t):
     return fusion.union(lists(t))
 
 
-GRAPH = f"""{bfs_sql("reached", 2)}, gr AS (SELECT node AS key, round(1e0 / (1 + depth), 9) AS score FROM reached WHERE depth > 0 ORDER BY 2 DESC, 1 LIMIT 60)"""
-
-
 def fused_sql(parts: str) -> str:
     return f"""
 mixed AS ({parts}),
@@ -500,7 +526,7 @@ def _requests(t: Tables) -> DataFrame:
     entities = F.array(entity(name(0), "Language", F.lit(None).cast("string")), entity(name(1), "Site", F.col("source")), entity(F.upper(F.concat(F.lit(" "), name(1))), "Site", F.col("source")))
     relation = lambda a, b, kind, strength: F.struct(a.alias("source"), b.alias("target"), kind.alias("relationship_type"), strength.alias("strength"))
     relations = F.array(relation(name(0), name(1), F.lit(None).cast("string"), F.lit(None).cast("double")), relation(name(1), name(2), F.lit("part_of"), F.lit(0.5)), relation(name(1), name(0), F.lit("supports"), F.lit(1.5)))
-    return t.memories.filter("id % 10 = 0").select("id", F.struct(entities.alias("entities"), relations.alias("relationships")).alias("graph_extraction"))
+    return t.memories.select("id", F.struct(entities.alias("entities"), relations.alias("relationships")).alias("graph_extraction"))
 
 
 @query(
@@ -508,7 +534,7 @@ def _requests(t: Tables) -> DataFrame:
     """SELECT id::VARCHAR AS src, id || ':entity:' || pos AS dst, 'references' AS edge_type, 1e0 AS weight FROM asked, range(3) r(pos)
 UNION ALL SELECT id || ':entity:0', id || ':entity:2', 'related_to', 8e-1 FROM asked
 UNION ALL SELECT id || ':entity:2', id || ':entity:0', 'supports', 1e0 FROM asked""",
-    "asked AS (SELECT id FROM memories WHERE id % 10 = 0)",
+    "asked AS (SELECT id FROM memories)",
 )
 def _(t):
     return connections.extract_graph(_requests(t), NOW_MS)[1]
@@ -516,9 +542,9 @@ def _(t):
 
 @query(
     "entity_records",
-    """SELECT id || ':entity:0' AS id, 'Entity: ' || tags[1] || chr(10) || 'Type: Language' AS content FROM memories WHERE id % 10 = 0
-UNION ALL SELECT id || ':entity:1', 'Entity: ' || tags[2] || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories WHERE id % 10 = 0
-UNION ALL SELECT id || ':entity:2', 'Entity: ' || upper(tags[2]) || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories WHERE id % 10 = 0""",
+    """SELECT id || ':entity:0' AS id, 'Entity: ' || tags[1] || chr(10) || 'Type: Language' AS content FROM memories
+UNION ALL SELECT id || ':entity:1', 'Entity: ' || tags[2] || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories
+UNION ALL SELECT id || ':entity:2', 'Entity: ' || upper(tags[2]) || chr(10) || 'Type: Site' || chr(10) || 'Description: ' || source FROM memories""",
 )
 def _(t):
     return connections.extract_graph(_requests(t), NOW_MS)[0].select("id", "content")
@@ -583,6 +609,368 @@ def _(t):
     return lifecycle.update(t.memories, t.edges, patches, NOW_MS)[1].select("src", "dst", "edge_type")
 
 
+# Vectors by key, functions of vectors, approximate search.
+
+
+@query("get_vector", f"SELECT id, len(v) AS dimension, round(v[1], 6) AS first FROM vectors WHERE id = {PROBE}")
+def _(t):
+    row = vector.get_vector(t.vectors, PROBE)
+    return row.select("id", F.size("embedding").cast("long").alias("dimension"), F.round(F.get(V.doubles("embedding"), F.lit(0)), 6).alias("first"))
+
+
+@query(
+    "vector_functions",
+    f"""SELECT id, round(list_distance(v, {Q}), 6) AS l2, round(list_inner_product(v, {Q}) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product({Q}, {Q}))), 6) AS unit_similarity,
+ round(1 - list_inner_product(v, {Q}) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product({Q}, {Q}))), 6) AS unit_distance,
+ round(list_cosine_similarity(v, {Q}), 6) AS from_cosine, round(list_inner_product(v, {Q}), 6) AS from_dot FROM vectors WHERE id <> {PROBE}""",
+)
+def _(t):
+    v, q = V.doubles("embedding"), V.checked(V.literal(probe(t)), 64)
+    unit = V.normalize(v), V.normalize(q)
+    back = lambda metric: V.to_similarity(metric, V.to_distance(metric, V.to_similarity(metric, V.distance(metric, v, q))))
+    values = {"l2": V.l2(v, q), "unit_similarity": V.normalized_similarity(*unit), "unit_distance": V.normalized_distance(*unit), "from_cosine": back(Metric.COSINE), "from_dot": back(Metric.DOT)}
+    return others(t).select("id", *(F.round(c, 6).alias(n) for n, c in values.items()))
+
+
+@query("vector_topk_values", f"SELECT s.id, s.score, m.source FROM scored s JOIN memories m USING (id) ORDER BY score DESC, id LIMIT {LIMIT}", SCORED)
+def _(t):
+    return vector.top_k_with_values(others(t).join(t.memories.select("id"), "id", "left_semi"), t.memories, probe(t), LIMIT).select("id", "score", "source")
+
+
+@query("vector_upsert", "SELECT id, round(CASE WHEN id % 3 = 0 THEN 2 * v[1] ELSE v[1] END, 5) AS first FROM vectors UNION ALL SELECT id + 1000000, round(v[1], 5) FROM vectors WHERE id % 3 = 1")
+def _(t):
+    doubled = t.vectors.filter("id % 3 = 0").select("id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    new = t.vectors.filter("id % 3 = 1").select((F.col("id") + 1_000_000).alias("id"), "embedding")
+    return vector.upsert(t.vectors, doubled.unionByName(new), 64).select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query("vector_remove", "SELECT id FROM vectors WHERE id % 4 <> 0")
+def _(t):
+    return vector.remove(t.vectors, t.vectors.filter("id % 4 = 0")).select("id")
+
+
+@query(
+    "knn_cells",
+    """SELECT a.id AS src, b.id AS dst, round(1 / (1 + power(list_distance(a.v, b.v), 2)), 6) AS score,
+ row_number() OVER (PARTITION BY a.id ORDER BY round(1 / (1 + power(list_distance(a.v, b.v), 2)), 6) DESC, b.id) AS rank
+FROM vectors a JOIN vectors b ON a.id <> b.id QUALIFY rank <= 3""",
+)
+def _(t):
+    # More queries than go to all partitions: blocks of queries meet blocks of vectors.
+    return vector.knn_batch(t.vectors, t.vectors, 3, block=50).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("ann_recall", "SELECT true AS reached, (SELECT count(*) * 10 FROM vectors WHERE id % 50 = 0) AS wanted")
+def _(t):
+    asks = t.vectors.filter("id % 50 = 0")
+    found = ClusteredIndex.build(t.vectors).knn(asks, 10)
+    both = vector.knn_batch(t.vectors, asks, 10).join(found.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    return both.agg((F.sum("hit") >= 0.9 * F.count("*")).alias("reached"), F.count("*").alias("wanted"))
+
+
+@query("ann_exhaustive", f"SELECT id, score FROM scored ORDER BY score DESC, id LIMIT {LIMIT}", SCORED)
+def _(t):
+    # Visiting all clusters makes the approximate search exact.
+    return ClusteredIndex.build(others(t), clusters=8).search(probe(t), LIMIT, ef=1_000_000)
+
+
+@query(
+    "hybrid_batch",
+    f"""SELECT qid, key AS id, score, source FROM pool WHERE key IN (SELECT id FROM memories WHERE NOT archived)
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= {LIMIT}""",
+    f"""{POSTINGS},
+asked AS (SELECT id AS qid, v, CASE id % 3 WHEN 0 THEN 'en b3 en' WHEN 1 THEN 'fr src2' ELSE 'none' END AS text FROM vectors WHERE id % 40 = 0),
+near AS (SELECT qid, b.id AS key, 'vector' AS source, row_number() OVER (PARTITION BY qid ORDER BY round(1 / (1 + power(list_distance(a.v, b.v), 2)), 6) DESC, b.id) AS place
+  FROM asked a, vectors b QUALIFY place <= 30),
+word AS (SELECT qid, unnest(string_split(text, ' ')) AS token FROM asked),
+tagged AS (SELECT qid, key, 'tag' AS source, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, key) AS place
+  FROM word JOIN postings USING (token) GROUP BY qid, key QUALIFY place <= 60),
+pool AS (SELECT qid, key, round(sum(1e0 / (60 + place)), 9) AS score, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(source) END AS source
+  FROM (SELECT * FROM near UNION ALL SELECT * FROM tagged) GROUP BY qid, key QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 30)""",
+)
+def _(t):
+    text = F.when(F.col("id") % 3 == 0, "en b3 en").when(F.col("id") % 3 == 1, "fr src2").otherwise("none")
+    asked = t.vectors.filter("id % 40 = 0").select(F.col("id").alias("qid"), "embedding", text.alias("text"))
+    return search.hybrid_batch(t.memories, t.vectors, asked, LIMIT)
+
+
+# Records: decoding, validation, keys and parameters.
+
+
+@query("decode_lenient", "SELECT id::VARCHAR AS id, length(content) AS n FROM memories WHERE id % 11 <> 0")
+def _(t):
+    stored = encode(t.memories)
+    broken = t.memories.select(F.concat(F.lit("memory:"), "id").alias("key"), (F.col("id") % 11 == 0).alias("broken"))
+    rows = stored.join(broken, "key").withColumn("value", F.when(F.col("broken"), F.lit("{not json")).otherwise(F.col("value")))
+    return decode(rows).select("id", F.length("content").cast("long").alias("n"))
+
+
+@query("decode_strict", "SELECT id::VARCHAR AS id, access_count FROM memories")
+def _(t):
+    return decode(encode(t.memories), strict=True).select("id", "access_count")
+
+
+@query("filter_metadata", "SELECT id FROM memories WHERE source = 'src1'")
+def _(t):
+    rows = t.memories.withColumn("metadata", F.create_map(F.lit("source"), "source"))
+    return rows.filter(filters.metadata_equals("source", "src1")).select("id")
+
+
+@query("existing_ids", "SELECT id + 13 AS id, id + 13 IN (SELECT id FROM memories WHERE NOT archived) AS found FROM memories")
+def _(t):
+    return filters.existing(t.memories.select((F.col("id") + 13).alias("id")), t.memories)
+
+
+_ASKED = """
+asked AS (
+  SELECT id, CASE WHEN id % 5 = 0 THEN '  ' ELSE content END AS content, CASE WHEN id % 7 = 0 THEN 51 ELSE 2 END AS n_tags,
+    CASE WHEN id % 9 = 0 THEN 'odd' WHEN id % 2 = 0 THEN 'long_term' END AS memory_type, id / 5e2 AS importance, (id % 12) / 1e1 AS arousal FROM memories)"""
+
+
+def _creates(t: Tables) -> DataFrame:
+    """Create requests out of records, some of which break limits."""
+    kind = F.when(F.col("id") % 9 == 0, "odd").when(F.col("id") % 2 == 0, "long_term")
+    n_tags = F.when(F.col("id") % 7 == 0, 51).otherwise(2)
+    columns = {
+        "id": F.col("id").cast("string"), "content": F.when(F.col("id") % 5 == 0, "  ").otherwise(F.col("content")), "memory_type": kind,
+        "tags": F.transform(F.sequence(F.lit(1), n_tags), lambda i: F.concat(F.lit("t"), i.cast("string"))),
+        "importance": F.col("id") / 500, "arousal": (F.col("id") % 12) / 10, "ttl": F.when(F.col("id") % 3 == 0, F.lit(60).cast("long")),
+    }
+    empty = t.memories.sparkSession.createDataFrame([], CREATE)
+    return t.memories.select(*((columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema))
+
+
+@query(
+    "create_errors",
+    """SELECT id::VARCHAR AS id, array_to_string(list_filter([CASE WHEN trim(content) = '' THEN 'content_blank' END, CASE WHEN n_tags > 50 THEN 'too_many_tags' END,
+ CASE WHEN memory_type = 'odd' THEN 'memory_type_unknown' END], lambda x: x IS NOT NULL), ',') AS errors FROM asked WHERE trim(content) = '' OR n_tags > 50 OR memory_type = 'odd'""",
+    _ASKED,
+)
+def _(t):
+    return validated(_creates(t))[1].select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "create_records",
+    f"""SELECT id::VARCHAR AS id, CASE WHEN arousal >= 8e-1 THEN 'long_term' ELSE coalesce(memory_type, 'short_term') END AS memory_type,
+ round(CASE WHEN arousal >= 8e-1 THEN greatest(least(importance, 1e0), 9e-1) ELSE least(importance, 1e0) END, 5) AS importance, round(least(arousal, 1e0), 5) AS arousal,
+ CASE WHEN arousal >= 8e-1 THEN {NOW_MS} + 2592000000 END AS flashbulb_until, CASE WHEN arousal < 8e-1 AND coalesce(memory_type, 'short_term') = 'short_term' THEN CASE WHEN id % 3 = 0 THEN 60 ELSE 3600 END END AS ttl
+FROM asked WHERE trim(content) <> '' AND n_tags <= 50 AND coalesce(memory_type, '') <> 'odd'""",
+    _ASKED,
+)
+def _(t):
+    rows = created(validated(_creates(t))[0], NOW_MS)
+    return rows.select("id", "memory_type", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("importance", "arousal")), "flashbulb_until", "ttl")
+
+
+@query(
+    "keys_and_params",
+    "SELECT id, 'memory:' || id AS key, id::VARCHAR AS back, CASE WHEN id % 2 = 0 THEN id::VARCHAR END AS kept, source || '|x' AS parts, created_at // 1000 * 1000 AS ms FROM memories",
+)
+def _(t):
+    text, key = F.col("id").cast("string"), T.memory_key(F.col("id").cast("string"))
+    mixed = F.when(F.col("id") % 2 == 0, key).otherwise(F.concat(F.lit("other:"), text))
+    parts = T.parse_list(F.concat(F.lit(" "), "source", F.lit(", ,x ,")))
+    time = T.parse_time_ms(F.date_format(F.timestamp_millis("created_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    kept = F.when(T.is_memory_key(mixed), T.memory_id(mixed))
+    return t.memories.select("id", key.alias("key"), T.memory_id(key).alias("back"), kept.alias("kept"), F.array_join(parts, "|").alias("parts"), time.alias("ms"))
+
+
+# Tags, times and edges: single look-ups and edits.
+
+
+@query("add_tags", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(tags, ['b3', 'new']))), ',') AS tags FROM memories")
+def _(t):
+    return tags.add_tags(t.memories, ["b3", "new", "", "x" * 101]).select("id", F.array_join(F.sort_array("tags"), ",").alias("tags"))
+
+
+@query("set_tags", "SELECT id, 'one,two' AS tags FROM memories")
+def _(t):
+    return tags.set_tags(t.memories, ["one", "two", "one"]).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("tag_search", "SELECT key FROM postings WHERE token = 'b3'", POSTINGS)
+def _(t):
+    return tags.search(tags.tag_postings(t.memories), "B3")
+
+
+@query("text_search_scored", f"SELECT id AS key, n::DOUBLE AS score FROM (SELECT id, len(list_filter({_SPLIT}, lambda x: x = 'the')) AS n FROM memories) WHERE n > 0")
+def _(t):
+    return tags.search_scored(tags.text_postings(t.memories, "id", "content"), "The")
+
+
+@query("tokens_of", f"SELECT token FROM postings WHERE key = {PROBE}", POSTINGS)
+def _(t):
+    return tags.tokens_of(tags.tag_postings(t.memories), PROBE)
+
+
+@query("token_checks", f"SELECT (SELECT count(*) > 0 FROM postings WHERE key = {PROBE} AND token = '__type:long_term') AS has, (SELECT count(*) > 0 FROM postings WHERE key = {PROBE}) AS known, false AS unknown", POSTINGS)
+def _(t):
+    p = tags.tag_postings(t.memories)
+    checks = {"has": tags.has_token(p, PROBE, "__TYPE:long_term"), "known": tags.contains_key(p, PROBE), "unknown": tags.contains_key(p, -1)}
+    return t.memories.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in checks.items()))
+
+
+@query("remove_document", "SELECT key, token FROM postings WHERE key % 5 <> 0", POSTINGS)
+def _(t):
+    gone = t.memories.filter("id % 5 = 0").select(F.col("id").alias("key"))
+    return tags.remove_document(tags.tag_postings(t.memories), gone).select("key", "token")
+
+
+@query("exact_tags", "SELECT id, array_to_string(list_transform(tags, lambda x: upper(x)), ',') AS kept, array_to_string(tags, ',') AS folded FROM memories")
+def _(t):
+    upper = F.transform("tags", lambda x: F.upper(x))
+    return t.memories.select("id", F.array_join(T.normalize_tokens(upper, exact=True), ",").alias("kept"), F.array_join(T.normalize_tokens(upper), ",").alias("folded"))
+
+
+@query("search_segments", "SELECT key, (count(*) * CASE WHEN key % 2 = 0 THEN 2 ELSE 1 END)::DOUBLE AS score FROM postings WHERE token IN ('en', 'b3') GROUP BY key", POSTINGS)
+def _(t):
+    p = tags.tag_postings(t.memories)
+    return tags.search_segments([p, p.filter("key % 2 = 0")], ["en", "b3"])
+
+
+@query("merge_segments", "SELECT key, token, CASE WHEN key % 3 = 0 THEN 2e0 ELSE 1e0 END AS score FROM postings WHERE key % 3 <> 0 OR token = 'en' OR token LIKE 'b%'", POSTINGS)
+def _(t):
+    p = tags.tag_postings(t.memories)
+    newer = p.filter("key % 3 = 0 and (token = 'en' or token like 'b%')").withColumn("score", F.lit(2.0))
+    return tags.merge_segments([p, newer])
+
+
+@query("time_upsert", "SELECT key, CASE WHEN key % 3 = 0 THEN ts + 5000 ELSE ts END AS ts FROM timeline UNION ALL SELECT -key - 1, ts FROM timeline WHERE key % 100 = 0")
+def _(t):
+    moved = t.timeline.filter("key % 3 = 0").select("key", (F.col("ts") + 5000).alias("ts"))
+    return timeline.upsert(t.timeline, moved.unionByName(t.timeline.filter("key % 100 = 0").select((-F.col("key") - 1).alias("key"), "ts")))
+
+
+@query("time_range_limit", f"SELECT key, ts FROM timeline WHERE ts BETWEEN {T0} AND {T1} ORDER BY ts, key LIMIT 7")
+def _(t):
+    return timeline.between(t.timeline, T0, T1, 7)
+
+
+@query("time_points", "SELECT t.key, t.ts FROM timeline t WHERE ts = (SELECT ts FROM timeline WHERE key = 12)")
+def _(t):
+    ts = timeline.timestamp_of(t.timeline, 12).first()["ts"]
+    return timeline.at(t.timeline, ts).withColumn("ts", F.lit(ts))
+
+
+@query("time_remove", "SELECT key, ts FROM timeline WHERE key % 10 <> 3")
+def _(t):
+    return timeline.remove(t.timeline, t.timeline.filter("key % 10 = 3"))
+
+
+@query("graph_remove_edges", "SELECT src, dst, edge_type FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges g WHERE g.src = e.src AND g.dst = e.dst AND g.src % 4 = 0)")
+def _(t):
+    return graph.remove_edges(t.edges, t.edges.filter("src % 4 = 0")).select("src", "dst", "edge_type")
+
+
+@query("graph_nodes", "SELECT src AS node FROM edges UNION SELECT dst FROM edges UNION SELECT -id - 1 FROM memories WHERE id % 50 = 0")
+def _(t):
+    return graph.nodes(t.edges, t.memories.filter("id % 50 = 0").select((-F.col("id") - 1).alias("node")))
+
+
+@query(
+    "graph_checks",
+    f"SELECT (SELECT count(*) > 0 FROM edges WHERE src = {START} AND dst = {START * 7 + 3}) AS has, (SELECT count(*) > 0 FROM edges WHERE src = {START} AND dst = {START}) AS has_not, (SELECT count(*) > 0 FROM edges WHERE src = {START} OR dst = {START}) AS known, true AS isolated",
+)
+def _(t):
+    alone = t.memories.limit(1).select(F.lit(-7).cast("long").alias("node"))
+    checks = {"has": graph.has_edge(t.edges, START, START * 7 + 3), "has_not": graph.has_edge(t.edges, START, START), "known": graph.contains_node(t.edges, START), "isolated": graph.contains_node(t.edges, -7, alone)}
+    return t.memories.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in checks.items()))
+
+
+@query(
+    "graph_bfs_incoming",
+    f"SELECT node, min(depth) AS depth FROM walk GROUP BY node",
+    f"walk AS (SELECT {START}::BIGINT AS node, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 3)",
+)
+def _(t):
+    return graph.bfs(t.edges, START, 3, direction="incoming").select("node", "depth")
+
+
+@query(
+    "graph_bfs_both",
+    f"SELECT node, min(depth) AS depth FROM walk GROUP BY node",
+    f"""either AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+walk AS (SELECT {START}::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN either e ON e.src = w.node WHERE w.depth < 2)""",
+)
+def _(t):
+    return graph.bfs(t.edges, START, 2, direction="both").select("node", "depth")
+
+
+@query(
+    "graph_paths",
+    "SELECT node, min(hops) AS hops FROM walk WHERE seen AND hops > 0 GROUP BY node",
+    f"""walk AS (SELECT {START}::BIGINT AS node, false AS seen, 0 AS hops
+  UNION SELECT e.dst, w.seen OR e.edge_type = 'supports', w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 3)""",
+)
+def _(t):
+    return graph.paths(t.edges, START, 3, "supports")
+
+
+@query("graph_adjacency", "SELECT src, dst, edge_type, weight, seq FROM edges")
+def _(t):
+    return graph.unfinalize(graph.finalize(t.edges, most=1))
+
+
+@query(
+    "connection_errors",
+    """SELECT src, dst, CASE WHEN src = dst THEN 'self_loop' WHEN src NOT IN (SELECT id FROM usable) THEN 'source_missing' WHEN dst NOT IN (SELECT id FROM usable) THEN 'target_missing'
+ WHEN src % 6 = 0 THEN 'type_unknown' END AS error FROM wished WHERE src = dst OR src NOT IN (SELECT id FROM usable) OR dst NOT IN (SELECT id FROM usable) OR src % 6 = 0""",
+    "usable AS (SELECT id FROM memories WHERE NOT archived), wished AS (SELECT id AS src, id * (id % 4) AS dst FROM memories)",
+)
+def _(t):
+    wished = t.memories.select(F.col("id").alias("src"), (F.col("id") * (F.col("id") % 4)).alias("dst"), F.when(F.col("id") % 6 == 0, "odd").otherwise("supports").alias("edge_type"), F.lit(1.5).alias("weight"))
+    return connections.checked_connections(wished, t.memories)[1].select("src", "dst", "error")
+
+
+@query(
+    "auto_discover",
+    f"""SELECT {PROBE}::BIGINT AS src, id AS dst, 'similar_to' AS edge_type, score AS weight FROM (
+ SELECT s.id, score FROM scored s JOIN memories m USING (id) WHERE NOT archived ORDER BY score DESC, s.id LIMIT 5) p
+WHERE score >= 3e-1 AND EXISTS (SELECT 1 FROM memories WHERE id = {PROBE} AND NOT archived) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = {PROBE} AND e.dst = p.id)""",
+    SCORED,
+)
+def _(t):
+    return connections.auto_discover(PROBE, t.memories, t.vectors, t.edges, 0.3)
+
+
+@query(
+    "update_patches",
+    f"""SELECT id, length(content) + CASE WHEN p THEN 2 ELSE 0 END AS n, round(CASE WHEN p THEN least(importance + 5e-1, 1) ELSE importance END, 6) AS importance,
+ CASE WHEN p THEN {NOW_MS} ELSE updated_at END AS updated_at FROM x""",
+    "x AS (SELECT *, id % 9 = 0 AND NOT archived AS p FROM memories)",
+)
+def _(t):
+    # Two patches of an id act as one: the content of the later one, the importance of the one that has it.
+    rows = t.memories.filter("id % 9 = 0")
+    none = F.lit(None).cast("double")
+    first = rows.select("id", F.concat("content", F.lit("!")).alias("content"), (F.col("importance") + 0.5).alias("importance"), F.lit(1).alias("seq"))
+    second = rows.select("id", F.concat("content", F.lit("!!")).alias("content"), none.alias("importance"), F.lit(2).alias("seq"))
+    unknown = rows.select((-F.col("id") - 1).alias("id"), F.lit("x").alias("content"), none.alias("importance"), F.lit(1).alias("seq"))
+    out = lifecycle.update(t.memories, t.edges, first.unionByName(second).unionByName(unknown), NOW_MS)[0]
+    return out.select("id", F.length("content").cast("long").alias("n"), F.round("importance", 6).alias("importance"), "updated_at")
+
+
+@query("hard_delete", "SELECT 'record' AS kind, id AS a, 0 AS b FROM memories WHERE id % 6 <> 0 UNION ALL SELECT 'edge', src, dst FROM edges WHERE src % 6 <> 0 AND dst % 6 <> 0")
+def _(t):
+    kept, edges = lifecycle.delete(t.memories, t.edges, t.memories.filter("id % 6 = 0").select("id"), NOW_MS, hard=True)
+    return kept.select(F.lit("record").alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query(
+    "store_upsert",
+    f"""SELECT id, CASE WHEN id % 8 = 0 THEN 'replaced' ELSE left(content, 20) END AS content, CASE WHEN id % 8 = 0 THEN {NOW_MS} ELSE created_at END AS created_at FROM memories
+UNION ALL SELECT id + 1000000, 'replaced', {NOW_MS} FROM memories WHERE id % 8 = 1""",
+)
+def _(t):
+    store = MemoryStore(t, Config(dimension=64))
+    old = t.memories.filter("id % 8 = 0").select("id").unionByName(t.memories.filter("id % 8 = 1").select((F.col("id") + 1_000_000).alias("id")))
+    empty = t.memories.sparkSession.createDataFrame([], CREATE)
+    asked = old.select(*((F.col("id") if f.name == "id" else F.lit("replaced") if f.name == "content" else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema))
+    store.create(asked.unionByName(asked), NOW_MS)
+    return store.tables.memories.select("id", F.left("content", F.lit(20)).alias("content"), "created_at")
+
+
 # The log.
 
 
@@ -596,3 +984,44 @@ QUERIES["changelog_fold"] = changelog_fold
 ORACLE_SQL["changelog_fold"] = """
 SELECT user_id AS key, event_id AS seq, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_id % 7 <> 0"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    op = F.when(F.col("event_id") % 7 == 0, "delete").otherwise("put")
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), "event_type", "value")
+
+
+def changelog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels and a late one, whose older puts must not bring deleted keys back."""
+    changes = _changes(spark, sf_dir)
+    levels = [changelog.latest(changes.filter("seq % 3 = 1")), changelog.latest(changes.filter("seq % 3 = 2")), changelog.latest(changes.filter("seq % 3 = 0"))]
+    return changelog.live_rows(changelog.merge(changelog.merge(*levels[:2]), levels[2])).select("key", "seq", "event_type", "value")
+
+
+def changelog_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _changes(spark, sf_dir)
+    return changelog.get(3, changes.filter("seq % 2 = 0"), changes.filter("seq % 2 = 1"))
+
+
+def changelog_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _changes(spark, sf_dir)
+    gone = changelog.deletes(changes.filter("key % 5 = 0"), F.lit(10**12), ["key"], changes)
+    return changelog.fold(changes.unionByName(gone))
+
+
+def changelog_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of a checkpoint with what the trimmed log still holds."""
+    changes = _changes(spark, sf_dir)
+    saved = changelog.latest(changes.filter("seq <= 500"))
+    return changelog.live_rows(changelog.merge(saved, changelog.trim(changes, 500)))
+
+
+_FOLDED = ORACLE_SQL["changelog_fold"]
+for _f, _sql in (
+    (changelog_merge, _FOLDED),
+    (changelog_get, f"SELECT * FROM ({_FOLDED}) WHERE key = 3"),
+    (changelog_deletes, f"SELECT * FROM ({_FOLDED}) WHERE key % 5 <> 0"),
+    (changelog_trim, _FOLDED),
+):
+    QUERIES[_f.__name__], ORACLE_SQL[_f.__name__] = _f, _sql

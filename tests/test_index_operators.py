@@ -101,6 +101,36 @@ def test_graph_edits(spark, edges):
         graph.oriented(edges, "sideways")
 
 
+def test_adjacency(spark, edges):
+    for most in (10_000, 1):
+        rows = graph.finalize(edges, most)
+        assert sorted(map(tuple, graph.unfinalize(rows).collect())) == sorted(map(tuple, edges.collect()))
+    hub = spark.range(60).selectExpr("'H' AS src", "cast(id AS string) AS dst", "'' AS edge_type", "1.0D AS weight", "id AS seq")
+    assert graph.finalize(hub).count() == 1 and 4 <= graph.finalize(hub, 10).count() <= 6 and graph.unfinalize(graph.finalize(hub, 10)).count() == 60
+
+
+def test_paths(spark, edges):
+    more = edges.unionByName(spark.createDataFrame([("D", "A", "back", 1.0, 9)], edges.schema))
+    hops = lambda *a: {r["node"]: r["hops"] for r in graph.paths(more, *a).collect()}
+    assert hops("A", 2) == {"B": 1, "X": 1, "C": 2} and hops("A", 9) == {"B": 1, "X": 1, "C": 2, "D": 3, "A": 4}
+    # The type need only occur on the way: D leads back by `back`, and on from there by any type.
+    assert hops("C", 4, "back") == {"A": 2, "B": 3, "X": 3, "C": 4}
+    assert hops("A", 3, "unrelated") == {"X": 1} and hops("nobody", 3) == {} and hops("A", 0) == {}
+
+
+def test_segments(spark):
+    old = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)], "key string, token string, score double")
+    new = spark.createDataFrame([("a", "x", 5.0), ("c", "x", 1.0)], old.schema)
+    assert {r["key"]: r["score"] for r in tags.search_segments([old, new], ["x"]).collect()} == {"a": 6.0, "b": 3.0, "c": 1.0}
+    assert sorted(map(tuple, tags.merge_segments([old, new]).collect())) == [("a", "x", 5.0), ("b", "x", 3.0), ("c", "x", 1.0)]
+
+
+def test_tag_edits(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"])], "id long, tags array<string>")
+    assert tags.add_tags(rows, ["b", "c", "", "x" * 101]).first()["tags"] == ["a", "b", "c"]
+    assert tags.set_tags(rows, ["z", "z"]).first()["tags"] == ["z"] and tags.set_tags(rows, []).first()["tags"] == []
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "key string, score double")
 

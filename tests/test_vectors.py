@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors as V
-from engram.functions.embedding import hashed_embedding, with_vectors
+from engram.functions.embedding import QueryEmbedder, embed, hashed_embeddings, with_vectors
 from engram.operators import vector
+from engram.operators.ann import ClusteredIndex
 from engram.schema import Metric
 
 
@@ -89,23 +90,84 @@ def test_knn_without_rows(spark):
     assert vector.similarity_join(t.limit(0), 0.5, 3).count() == 0
 
 
-def test_lsh_recall(spark):
-    points = np.random.RandomState(2).rand(300, 16)
+def test_dimensions_are_checked_while_searching(spark):
+    two = table(spark, [(1, 2), (3, 4)])
+    for run in (lambda: vector.top_k(two, [1, 2, 3], 1), lambda: vector.knn_batch(two, table(spark, [(1, 2, 3)]), 1), lambda: vector.upsert(two, table(spark, [(1, 2, 3)]), 2)):
+        with pytest.raises(Exception, match="dimensions"):
+            run().collect()
+    null = two.unionByName(spark.createDataFrame([(9, None)], two.schema))
+    assert vector.top_k(null, [1, 2], 5).count() == 2 and vector.knn_batch(null, null, 5, skip_self=False).count() == 4
+
+
+def test_vectors_are_replaced_and_removed(spark):
+    t = table(spark, [(1, 2), (3, 4)])
+    new = spark.createDataFrame([(1, [9.0, 9.0]), (5, [5.0, 5.0])], t.schema)
+    assert {r["id"]: list(r["embedding"]) for r in vector.upsert(t, new).collect()} == {0: [1, 2], 1: [9, 9], 5: [5, 5]}
+    assert [r["id"] for r in vector.remove(t, new).collect()] == [0]
+    records = spark.createDataFrame([(0, "zero")], "id long, content string")
+    assert [(r["id"], r["content"]) for r in vector.top_k_with_values(t, records, [1, 2], 5).collect()] == [(0, "zero")]
+
+
+def test_every_metric_ranks_as_its_expression(spark):
+    points = np.random.RandomState(5).normal(size=(50, 6)).astype(np.float32).astype(np.float64)
+    t, q = table(spark, [*points, [0.0] * 6]), points[3].tolist()
+    for metric in Metric:
+        d = V.distance(metric, V.doubles("embedding"), V.literal(q))
+        want = {r["id"]: r["d"] for r in t.select("id", d.alias("d")).collect()}
+        assert {r["id"]: r["distance"] for r in vector.scored(t, q, metric).collect()} == pytest.approx(want)
+        assert [r["id"] for r in vector.top_k(t, q, 7, metric).collect()] == [r["id"] for r in vector.scored(t, q, metric).orderBy(F.desc("score"), "id").limit(7).collect()]
+
+
+def recall(exact, found):
+    want = {(r["src"], r["dst"]) for r in exact.collect()}
+    return len(want & {(r["src"], r["dst"]) for r in found.collect()}) / len(want)
+
+
+def test_clustered_index_recall(spark, tmp_path):
+    points = np.random.RandomState(2).normal(size=(1000, 32))
     t = table(spark, points)
-    index = vector.LshIndex(t, tables=16, bucket=4.0)
-    hits = 0
-    for i in range(5):
-        exact = {r["id"] for r in vector.top_k(t, points[i].tolist(), 10).collect()}
-        hits += len(exact & {r["id"] for r in index.search(points[i].tolist(), 10).collect()})
-    assert hits / 50 > 0.9
+    index = ClusteredIndex.build(t)
+    asks = t.filter("id < 10")
+    exact = vector.knn_batch(t, asks, 10, skip_self=False)
+    assert recall(exact, index.knn(asks, 10, skip_self=False)) > 0.9
+    assert recall(exact, index.knn(asks, 10, ef=1000, skip_self=False, block=100)) == 1
+    one = {r["id"] for r in index.search(points[3].tolist(), 10).collect()}
+    assert one == {r["dst"] for r in index.knn(t.filter("id = 3"), 10, skip_self=False).collect()}
+    index.save(str(tmp_path / "index"))
+    again = ClusteredIndex.load(spark, str(tmp_path / "index"))
+    assert again.probes == index.probes and {r["id"] for r in again.search(points[3].tolist(), 10).collect()} == one
+    with pytest.raises(ValueError):
+        again.search([1.0, 2.0], 3)
+
+
+def test_clustered_links(spark):
+    rng = np.random.RandomState(3)
+    base = rng.normal(size=(40, 16)) * 3
+    points = (base[rng.randint(0, 40, 800)] + rng.normal(size=(800, 16)) * 0.1).astype(np.float32).astype(np.float64)
+    t = table(spark, points)
+    exact, found = vector.similarity_join(t, 0.7, 5), ClusteredIndex.build(t).links(0.7, 5)
+    assert exact.count() > 1000 and recall(exact, found) > 0.95 and found.filter("score < 0.7 or src = dst or rank > 5").count() == 0
+    few = ClusteredIndex.build(t.limit(0))
+    assert few.search([0.0] * 16, 3).count() == 0 and few.links(0.5, 3).count() == 0
 
 
 def test_embedding(spark):
-    v = hashed_embedding("red green blue")
-    assert v @ v == pytest.approx(1)
-    assert not hashed_embedding(None).any()
-    records = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, content string")
+    red, none, same = hashed_embeddings(["red green blue", None, "RED  green\nblue"])
+    assert red @ red == pytest.approx(1) and not none.any() and (red == same).all()
+    records = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "id long, content string")
     stored = spark.createDataFrame([(2, [1.0, 0.0])], "id long, embedding array<float>")
     got = {r["id"]: list(r["embedding"]) for r in with_vectors(records, stored).collect()}
-    assert got[2] == [1.0, 0.0]
-    assert np.allclose(got[1], hashed_embedding("a b"))
+    assert got[2] == [1.0, 0.0] and not any(got[3])
+    assert np.allclose(got[1], hashed_embeddings(["a b"])[0])
+
+
+def test_texts_are_embedded_in_batches(spark):
+    def sizes(texts):
+        return np.full((len(texts), 1), len(texts))
+
+    rows = spark.range(70).coalesce(1).select(embed(F.col("id").cast("string"), sizes).alias("v"))
+    assert sorted(r["v"][0] for r in rows.collect()) == [6.0] * 6 + [32.0] * 64
+    ask = QueryEmbedder(most=2)
+    for text in ("a", "b", "a", "c", "b"):
+        ask(text)
+    assert (ask.hits, ask.misses) == (1, 4)
