@@ -351,6 +351,16 @@ def _(t):
     return nested.select("id", F.size("connections").cast("long").alias("n"), F.array_join(link, ",").alias("links"))
 
 
+@query(
+    "nest_connections_page",
+    """SELECT id, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY place) FILTER (place = 2), '') AS links FROM memories
+LEFT JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY seq, dst, edge_type) AS place FROM edges) ON src = id GROUP BY id""",
+)
+def _(t):
+    nested = connections.nest_connections(t.memories, t.edges, offset=1, limit=1)
+    return nested.select("id", F.array_join(F.transform("connections", lambda c: c.target_id.cast("string")), ",").alias("links"))
+
+
 # Fusion.
 
 BRANCHES = f"""{SCORED}, {TAG_SCORED},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import entity_content
@@ -36,9 +36,16 @@ def list_connections(edges: DataFrame, memories: DataFrame, offset: int = 0, lim
     return page.select("src", "dst", "edge_type", "weight")
 
 
-def nest_connections(memories: DataFrame, edges: DataFrame) -> DataFrame:
-    """Records with an array of their outgoing connections; edges of unknown types are left out."""
+def nest_connections(memories: DataFrame, edges: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Records with an array of their outgoing connections, in order of insertion; edges of unknown types are left out.
+
+    A record with very many connections has them in one row. With `limit` a row has a page of them, and tasks keep no
+    more than a page's end per record; `graph.finalize` spreads them over rows.
+    """
     known = edges.filter(F.col("edge_type").isin(*RELATIONSHIPS))
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("src").orderBy("seq", "dst", "edge_type"))
+        known = known.withColumn("_place", place).filter(F.col("_place") <= offset + limit).filter(F.col("_place") > offset).drop("_place")
     link = F.struct("seq", F.col("dst").alias("target_id"), F.col("edge_type").alias("relationship_type"), F.col("weight").alias("strength"))
     nested = known.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(link)).alias("connections"))
     nested = nested.select("id", F.transform("connections", lambda c: c.dropFields("seq")).alias("connections"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most rows of a ranked list: one partition ranks them.
+MAX_LIMIT = 10_000
+
+
 def upsert(timeline: DataFrame, changes: DataFrame) -> DataFrame:
     """A key that comes again moves to its new time."""
     return timeline.join(changes.select("key"), "key", "left_anti").unionByName(changes.select("key", "ts"))
@@ -55,6 +59,7 @@ def scan(timeline: DataFrame, start: int, end: int, limit: int, descending: bool
 
     Descending takes the newest rows; with `legacy_order` it takes the oldest ones and reverses them.
     """
+    limit = min(limit, MAX_LIMIT)
     rows = timeline.filter(F.col("ts").between(start, end))
     newest = descending and not legacy_order
     rows = rows.orderBy(F.desc("ts") if newest else F.asc("ts"), "key").limit(limit)

@@ -44,6 +44,8 @@ def settled(df: DataFrame, most: int = 50_000) -> tuple[DataFrame, bool]:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: for costly expressions over a scan of few files or row groups, whose
-    rows would otherwise keep one core busy. A scan with partitions enough, as any large one has, stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    rows would otherwise keep one core busy. A scan with partitions enough, as any large one has, and a result of a shuffle stay as they are."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString():  # counting its partitions would run it
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
