@@ -30,18 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Of a materialised table of numbers: marked for a broadcast if it has at most `most` rows, as it is otherwise."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Of a materialised table of numbers: marked for a broadcast if it has at most `most` (BROADCAST_ROWS) rows, as it is otherwise."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def matched(df: DataFrame, ids: DataFrame, key, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Semi or anti join with a materialised table of keys, by names or a condition. At most `most` keys, counted first, are broadcast, so
-    that df is not shuffled; more are not."""
+def matched(df: DataFrame, ids: DataFrame, key, how: str, most: int | None = None) -> DataFrame:
+    """Semi or anti join with a materialised table of keys, by names or a condition. At most `most` (BROADCAST_ROWS) keys, counted first, are
+    broadcast, so that df is not shuffled; more are not."""
     n = ids.count()
     if n == 0:
         return df if how == "left_anti" else df.limit(0)
-    return df.join(F.broadcast(ids) if n <= most else ids, key, how)
+    return df.join(F.broadcast(ids) if n <= (BROADCAST_ROWS if most is None else most) else ids, key, how)
 
 
 def written(df: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, read
+from .common import cut, read
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 3
+#: Ranges of lines, of some 80 bytes with their document's key, up to which those to remove are broadcast and no text is shuffled.
+BROADCAST_RANGES = 200_000
 
 
 def _key(df: DataFrame) -> list:
@@ -83,7 +85,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, enough: int | None = None
     windows = cut(line_windows(docs.select("doc_id", "text"), window, enough))
     covered = cut(covered_lines(windows))
     n = covered.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    covered = F.broadcast(covered) if n <= BROADCAST_ROWS else covered  # 8 bytes a range, and a key of 24 a document
+    covered = F.broadcast(covered) if n <= BROADCAST_RANGES else covered
     keys = [k.alias(f"_doc{i}") for i, k in enumerate((F.col("doc_id"), F.xxhash64("text"), F.length("text")))]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *keys)
     same = F.col("_doc0").eqNullSafe(F.col("_id")) & (F.col("_doc1") == F.col("_h")) & F.col("_doc2").eqNullSafe(F.col("_n"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import decontaminate, langid, line_dedup, ngram_join, pii, quality_model, quality_rules
+from engram.llm import common, decontaminate, langid, line_dedup, ngram_join, pii, quality_model, quality_rules
 
 from .cases import PROSE, documents
 
@@ -75,6 +75,17 @@ def test_near_duplicates_without_or_with_equal_ids(spark):
     assert len({r["class"] for r in got}) == 3
 
 
+def test_results_do_not_depend_on_broadcasts(spark, data, monkeypatch):
+    """Beyond the counted sizes joins shuffle; the rows are the same."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    near = lambda: sorted(map(tuple, ngram_join.join_similar(docs).drop("class").collect()))
+    lines = lambda: sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    before = near(), lines()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_RANGES", 0)
+    assert (near(), lines()) == before
+
+
 def test_near_duplicates_of_chained_documents(spark):
     # Each is similar to its neighbours only, so one class needs many rounds, and no two others may be linked.
     words = [f"w{i}" for i in range(400)]
