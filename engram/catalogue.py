@@ -764,7 +764,7 @@ def _(t):
     "create_records",
     f"""SELECT id::VARCHAR AS id, CASE WHEN arousal >= 8e-1 THEN 'long_term' ELSE coalesce(memory_type, 'short_term') END AS memory_type,
  round(CASE WHEN arousal >= 8e-1 THEN greatest(least(importance, 1e0), 9e-1) ELSE least(importance, 1e0) END, 5) AS importance, round(least(arousal, 1e0), 5) AS arousal,
- CASE WHEN arousal >= 8e-1 THEN {NOW_MS} + 2592000000 END AS flashbulb_until, CASE WHEN arousal < 8e-1 AND coalesce(memory_type, 'short_term') = 'short_term' THEN CASE WHEN id % 3 = 0 THEN 60 ELSE 3600 END END AS ttl
+ CASE WHEN arousal >= 8e-1 THEN {NOW_MS} + 2592000000 END AS flashbulb_until, CASE WHEN arousal < 8e-1 AND coalesce(memory_type, 'short_term') = 'short_term' THEN CASE WHEN id % 3 = 0 THEN 60::BIGINT ELSE 3600 END END AS ttl
 FROM asked WHERE trim(content) <> '' AND n_tags <= 50 AND coalesce(memory_type, '') <> 'odd'""",
     _ASKED,
 )
