@@ -25,8 +25,9 @@ from .common import cut, read
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 3
-#: Ranges of lines, of some 80 bytes with their document's key, up to which those to remove are broadcast and no text is shuffled.
-BROADCAST_RANGES = 200_000
+#: Ranges of lines, of some 80 bytes with their document's key, up to which those to remove are broadcast (80 MB) and no text is shuffled;
+#: beyond, texts are shuffled by document.
+BROADCAST_RANGES = 1_000_000
 
 
 def _key(df: DataFrame) -> list:
