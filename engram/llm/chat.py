@@ -4,7 +4,8 @@ Iterative self-joins double each message's pointer to an ancestor, so the score
 path and the members of the chosen paths take a number of joins logarithmic in the depth, and rows in
 proportion to the messages and the chosen paths. Branches are ranked by score within each tree; each chosen path
 becomes one conversation. A conversation is written as one row, or as several rows of whole turns once it is longer
-than `part_chars`, so that no task has to hold an unbounded one; the rows of a conversation, in order, are its text.
+than `part_chars`; the rows of a conversation, in order of their part, are its text. Places and parts of turns come from keys and
+sizes alone, and each part goes to a task by itself, so a conversation of any length is spread over tasks.
 
 Template: `<|im_start|>role`, newline, text, `<|im_end|>`, newline. Inside roles and texts a backslash (one more, if there
 are some already) follows the first character of anything that reads as a control string; newlines and backslashes of
@@ -12,7 +13,7 @@ roles are escaped too. The escape is undone exactly by `unescape`.
 
 Edge cases: null roles and texts are empty; an empty text is a turn like others, and texts of any length are written whole; equal scores
 are ordered by leaf, and repeated rows are a turn each; other columns are ignored; a parent that is not there makes its reply a root; rows of one tree with
-equal ids raise nothing and are ordered by role and text; null tree ids form one tree; cycles of
+equal ids raise nothing and are ordered by role and a hash of the text; null tree ids form one tree; cycles of
 replies raise an error; an empty table gives an empty result.
 """
 
@@ -22,10 +23,11 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read
+from .shingles import pieces, tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
@@ -92,56 +94,78 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return paths
 
 
-def write_turns(part_chars: int):
-    """mapInArrow over turns sorted by conversation and position: formatted rows with the spans to train on."""
+PARTS = "tree bigint, path bigint, part int, formatted string, loss_spans array<struct<start:bigint,end:bigint>>"
+
+
+def _escaped_chars(text: Column) -> Column:
+    return F.length(text) + F.regexp_count(text, F.lit(r"[<\[]\\*" + CONTROL))
+
+
+def turn_chars(role: Column, text: Column) -> Column:
+    """The characters of a formatted turn, in built-in functions."""
+    role, text = (F.coalesce(c, F.lit("")) for c in (role, text))
+    escaped = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return (F.lit(len(START) + len(END) + 2) + _escaped_chars(escaped) + _escaped_chars(text)).cast("long")
+
+
+def write_parts():
+    """mapInArrow over turns (tree, path, part, role, text) sorted by part and place: a formatted row per part, with the spans to train on."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("tree", pa.int64()), ("path", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss_spans", pa.list_(span))])
 
     def run(batches):
-        at, part, texts, spans, size, rows, held = None, 0, [], [], 0, [], 0
+        at, texts, spans, size, rows, held = None, [], [], 0, [], 0
 
         def close():
-            nonlocal texts, spans, size
-            rows.append({"tree": at[0], "path": at[1], "part": part, "formatted": "".join(texts), "loss_spans": spans})
-            texts, spans, size = [], [], 0
+            rows.append({"tree": at[0], "path": at[1], "part": at[2], "formatted": "".join(texts), "loss_spans": spans})
 
         for batch in batches:
-            for tree, path, role, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if (tree, path) != at:
-                    if at is not None:
-                        close()
-                    at, part = (tree, path), 0
-                elif size >= part_chars:
-                    close()
-                    part += 1
-                turn, start, end = format_turn(role or "", text or "")
-                if role == "assistant":
-                    spans.append({"start": size + start, "end": size + end})
-                texts.append(turn)
-                size += len(turn)
-                held += len(turn)
-                if held > 8_000_000 and rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, held = [], 0
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            for first, last, bodies in pieces(batch.column(4)):
+                for (tree, path, part, role), text in zip(keys[first:last], bodies):
+                    if (tree, path, part) != at:
+                        if at is not None:
+                            close()
+                        at, texts, spans, size = (tree, path, part), [], [], 0
+                    turn, start, end = format_turn(role or "", text or "")
+                    if role == "assistant":
+                        spans.append({"start": size + start, "end": size + end})
+                    texts.append(turn)
+                    size, held = size + len(turn), held + len(turn)
+                    if held > 8_000_000 and rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
         if at is not None:
             close()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return run
+    return tidy(run)
+
+
+def write_paths(paths: DataFrame, rows: DataFrame, part_chars: int) -> DataFrame:
+    """Formatted conversations of chosen paths and their materialised messages (tree, node, role, text, row), whose row is unique."""
+    keys = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", F.xxhash64("text").alias("tie"), turn_chars(F.col("role"), F.col("text")).alias("size"), "row")
+    turns = paths.join(keys, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+    # Keys and sizes only: where each turn goes. A part begins with the first turn that starts beyond `part_chars`, twice that, and so on.
+    order = Window.partitionBy("tree", "path").orderBy("position", "role", "tie", "row")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = turns.select("tree", "path", "row", F.row_number().over(order).alias("place"), F.floor(before / part_chars).alias("raw"))
+    dense = F.dense_rank().over(Window.partitionBy("tree", "path").orderBy("raw")) - 1
+    places = places.select("tree", "path", "row", "place", dense.alias("part"))
+    placed = rows.select("row", "role", "text").join(places, "row")
+    placed = placed.repartition("tree", "path", "part").sortWithinPartitions("tree", "path", "part", "place")
+    return placed.select("tree", "path", "part", "role", "text").mapInArrow(write_parts(), PARTS)
 
 
 def format_trees(messages: DataFrame, branches: int = 1, part_chars: int = 1_000_000) -> DataFrame:
     """Formatted conversations (tree, path, part, formatted, loss_spans) of messages (tree, node, parent, role, text, score).
 
-    The rows come partitioned by conversation and sorted by part. Offsets are in code points, end exclusive, and each
-    assistant text is one span.
+    Offsets are in code points of the part, end exclusive, and each assistant text is one span. Parts are numbered from 0.
     """
-    paths = choose_paths(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), branches)
-    body = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
-    turns = paths.join(body, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-    turns = turns.repartition("tree", "path").sortWithinPartitions("tree", "path", "position", "role", "text")
-    return turns.select("tree", "path", "role", "text").mapInArrow(write_turns(part_chars), "tree bigint, path bigint, part int, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
+    rows = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    return write_paths(choose_paths(rows.select("tree", "node", "parent", "score"), branches), rows, part_chars)
 
 
 def digests():
@@ -179,18 +203,31 @@ def digests():
     return run
 
 
-def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as trees: each row replies to the one before it by turn."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    return rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of formatted conversations. A hash of a whole text is made in order, so here one task reads one conversation, part by part."""
+    return formatted.repartition("tree", "path").sortWithinPartitions("tree", "path", "part").mapInArrow(digests(), DIGESTS)
+
+
+def format_conversations(conversations: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
+    """Formatted linear conversations (conv_id, turn, role, text): each row replies to the one before it by turn, role and text.
+
+    Rows are sorted in ranges, so a conversation of any length is spread over tasks, and numbered in that order.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    rows = conversations.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.select(F.col("conv_id").alias("tree"), F.monotonically_increasing_id().alias("node"), "role", "text"))
+    parent = F.lag("node").over(Window.partitionBy("tree").orderBy("node"))  # of two numbers a row
+    links = rows.select("tree", "node").select("tree", "node", parent.alias("parent"), F.lit(1.0).alias("score"))
+    return write_paths(choose_paths(links), rows.withColumn("row", F.col("node")), part_chars)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id bigint, turn bigint, role string, text string")
     conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
-    messages = cut(conversation_messages(conversations))
-    return format_trees(messages).mapInArrow(digests(), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return read_back(format_conversations(conversations))
 
 
 def _escaped_length(value: str) -> str:

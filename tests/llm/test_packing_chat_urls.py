@@ -125,8 +125,8 @@ def test_conversations_read_back(spark, data):
 
 
 def digest(spark, conversations, part_chars=1_000_000):
-    formatted = chat.format_trees(chat.conversation_messages(conversations), part_chars=part_chars)
-    return formatted, formatted.mapInArrow(chat.digests(), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    formatted = chat.format_conversations(conversations, part_chars)
+    return formatted, chat.read_back(formatted)
 
 
 def test_awkward_conversations(spark):
@@ -142,6 +142,37 @@ def test_awkward_conversations(spark):
     assert digest(spark, conversations.limit(0))[1].count() == 0
 
 
+def test_sizes_are_those_of_formatted_turns(spark):
+    rng = random.Random(12)
+    bits = ["<", "|", "\\", "im_start", "|>", "[", "]", "INST", "/", "s>", "<<SYS>>", "</s>", "\n", "x", "é😀"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(600)]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(made[::2], made[1::2]))] + [(1000, None, None)]
+    sized = spark.createDataFrame(rows, "i long, role string, text string").select("i", chat.turn_chars(F.col("role"), F.col("text")).alias("n"))
+    assert {r["i"]: r["n"] for r in sized.collect()} == {i: len(chat.format_turn(a or "", b or "")[0]) for i, a, b in rows}
+
+
+def test_a_long_conversation_is_spread_over_parts(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i} " * (i % 7)) for i in range(3000)]
+    rows = spark.createDataFrame([(5, i, *t) for i, t in enumerate(turns)] + [(6, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    formatted, got = digest(spark, rows.repartition(5), 1000)
+    whole = "".join(chat.format_turn(*t)[0] for t in turns)
+    parts = sorted((r["part"], r["formatted"], r["loss_spans"]) for r in formatted.filter("tree = 5").collect())
+    assert [k for k, _, _ in parts] == list(range(len(parts))) and len(parts) > 50 and "".join(t for _, t, _ in parts) == whole
+    assert "".join(chat.unescape(t[s["start"] : s["end"]]) for _, t, spans in parts for s in spans) == "".join(t for r, t in turns if r == "assistant")
+    assert max(len(t) for _, t, _ in parts) <= 1000 + max(len(chat.format_turn(*t)[0]) for t in turns)
+    by = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got.collect()}
+    assert by == {5: expected(turns), 6: expected([("user", "short")])}
+
+
+def test_trees_are_formatted(spark):
+    rows = [(1, 1, None, "user", "ask", 1.0), (1, 2, 1, "assistant", "best", 5.0), (1, 3, 1, "assistant", "other", 2.0), (1, 4, 2, "user", "thanks", None), (2, 1, None, "system", None, 0.0)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {(r["tree"], r["path"]): r["formatted"] for r in chat.format_trees(messages, 2).collect()}
+    turn = lambda *t: chat.format_turn(*t)[0]
+    assert got == {(1, 4): turn("user", "ask") + turn("assistant", "best") + turn("user", "thanks"), (1, 3): turn("user", "ask") + turn("assistant", "other"), (2, 1): turn("system", "")}
+    assert chat.format_trees(messages.limit(0)).count() == 0
+
+
 def test_best_branches(spark):
     #        1
     #      2   3        scores: 1, 5, 2; 4 below 2, 5 and 6 below 3; 7 has a parent that is not there
