@@ -78,12 +78,13 @@ def clamp(value: Column | str, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(value, F.lit(high))))
 
 
-def create_errors(dimension: int | None = None) -> Column:
-    """Names of the limits that a create request breaks; empty for a valid one. A dimension is checked if it is given."""
+def create_errors(dimension: int | None = None, max_bytes: int | None = MAX_CONTENT_BYTES) -> Column:
+    """Names of the limits that a create request breaks; empty for a valid one. A dimension is checked if it is given, the length of a
+    content unless `max_bytes` is None: for records taken over from tables that state no such limit."""
     checks = [] if dimension is None else [("embedding_dimension", F.size("embedding") != dimension)]
+    checks += [("content_blank", F.coalesce(F.trim("content"), F.lit("")) == "")]
+    checks += [] if max_bytes is None else [("content_too_long", F.octet_length("content") > max_bytes)]
     checks += [
-        ("content_blank", F.coalesce(F.trim("content"), F.lit("")) == ""),
-        ("content_too_long", F.octet_length("content") > MAX_CONTENT_BYTES),
         ("too_many_tags", F.size("tags") > MAX_TAGS),
         ("too_many_entities", F.size("graph_extraction.entities") > MAX_ENTITIES),
         ("too_many_relationships", F.size("graph_extraction.relationships") > MAX_RELATIONSHIPS),
@@ -92,9 +93,9 @@ def create_errors(dimension: int | None = None) -> Column:
     return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks)))
 
 
-def validated(requests: DataFrame, dimension: int | None = None) -> tuple[DataFrame, DataFrame]:
+def validated(requests: DataFrame, dimension: int | None = None, max_bytes: int | None = MAX_CONTENT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Valid requests, and the others with an `errors` column."""
-    checked = requests.withColumn("errors", create_errors(dimension))
+    checked = requests.withColumn("errors", create_errors(dimension, max_bytes))
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
