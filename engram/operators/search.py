@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import index_tags, matched_tokens, query_tokens
 from ..functions.vectors import depth_score
+from ..runtime import materialized, settled
 from . import fusion
 from .filters import live
 from .graph import bfs
@@ -96,11 +97,35 @@ def tag_score(tokens: list[str]) -> Column:
     return sum((F.array_contains(index_tags(), t).cast("double") * wanted.count(t) for t in sorted(set(wanted))), F.lit(0.0))
 
 
+def tag_lists(memories: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """qid, key, score and rank of the k records of the highest summed tag scores for each query's words (qid, token, times), ties by key.
+
+    Records with the same tags, of those that any query asks for, have the same scores: of each such group only the first k keys can be in
+    a list. Queries with the same words have the same list. So words meet groups, not records, and no row is made for a query and a record
+    outside its best groups. A group at place r of a query can give its key at place p only if r + p - 1 is at most k.
+    """
+    first = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    bags = words.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("token", "times"))).alias("bag"))
+    bags = bags.join(bags.groupBy("bag").agg(F.min("qid").alias("list")), "bag")
+    asked = bags.filter(F.col("list") == F.col("qid")).select("list", F.explode("bag").alias("b")).select("list", "b.token", "b.times")
+    wanted = tag_postings(memories).join(settled(words.select("token").distinct())[0], "token", "left_semi")
+    tagged = wanted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", "score"))).alias("tags"))
+    # A group is named by its first key.
+    members = tagged.withColumn("p", first("tags", "key")).filter(F.col("p") <= k)
+    members = materialized(members.withColumn("group", F.min("key").over(Window.partitionBy("tags"))))
+    groups = members.filter("p = 1").select("group", F.explode("tags").alias("t")).select("group", "t.token", "t.score")
+    best = asked.join(groups, "token").groupBy("list", "group").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
+    best = best.withColumn("r", first("list", F.desc("score"), "group")).filter(F.col("r") <= k)
+    keys = best.join(members.select("group", "key", "p"), "group").filter(F.col("r") + F.col("p") <= k + 1)
+    lists = keys.withColumn("rank", first("list", F.desc("score"), "key")).filter(F.col("rank") <= k)
+    return bags.select("qid", "list").join(lists, "list").select("qid", "key", "score", "rank")
+
+
 def hybrid_batch(memories: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, rrf_k: int = fusion.RRF_K) -> DataFrame:
     """qid, id, score and source: the hybrid search of many queries (qid, embedding, text) in one job.
 
-    Each query has a vector and a tag list as in `hybrid`, found by one batch of nearest neighbours and one join of query words
-    with postings; lists are ranked and fused per query.
+    Each query has a vector and a tag list as in `hybrid`, found by one batch of nearest neighbours and by `tag_lists`; lists are ranked
+    and fused per query.
     """
     limit = min(limit, MAX_LIMIT)
     k = pool_size(limit)
@@ -108,10 +133,8 @@ def hybrid_batch(memories: DataFrame, vectors: DataFrame, queries: DataFrame, li
     near = near.select(F.col("src").alias("qid"), F.col("dst").alias("key"), "score", F.lit("vector").alias("source"), "rank")
     words = queries.select("qid", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("token"))
     words = words.groupBy("qid", "token").agg(F.count("*").cast("double").alias("times"))
-    hits = words.join(tag_postings(memories), "token").groupBy("qid", "key").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    hits = hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= 2 * k).withColumn("source", F.lit("tag"))
-    both = near.unionByName(hits)
+    both = near.unionByName(tag_lists(memories, words, 2 * k).withColumn("source", F.lit("tag")))
     fused = both.groupBy("qid", "key").agg(F.round(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))), 9).alias("score"), F.min("source").alias("one"), F.count("*").alias("n"))
     pool = fused.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     kept = pool.join(live(memories).select(F.col("id").alias("key")), "key", "left_semi")

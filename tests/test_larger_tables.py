@@ -3,9 +3,13 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from engram import catalogue
+from engram.operators import search
 
 from .oracle import assert_same
 
@@ -27,3 +31,57 @@ def test_create_errors_of_long_texts(spark, long_texts):
 
 def test_create_records_of_long_texts(spark, long_texts):
     assert assert_same(catalogue.QUERIES["create_records"](spark, long_texts), catalogue.ORACLE_SQL["create_records"], long_texts)
+
+
+def rows_made(df, kind):
+    """Rows out of the plan's operators of a kind, each, once df is collected."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan = plan.executedPlan()
+        elif name.endswith("QueryStageExec"):
+            plan = plan.plan()
+        else:
+            if kind in name:
+                yield plan.metrics().apply("numOutputRows").value()
+            children = plan.children()
+            for i in range(children.size()):
+                yield from walk(children.apply(i))
+            return
+        yield from walk(plan)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def records(spark, n):
+    tags = F.array(F.concat(F.lit("a"), F.col("id") % 3), F.concat(F.lit("b"), F.col("id") % 5), F.concat(F.lit("c"), F.col("id") % 2))
+    return spark.range(n).select("id", tags.cast("array<string>").alias("tags"), F.lit("long_term").alias("memory_type"), F.lit(None).cast("long").alias("flashbulb_until"), (F.col("id") % 7 == 0).alias("archived"))
+
+
+def points(n, dim=8):
+    return np.random.RandomState(n).normal(size=(n, dim)).astype(np.float32)
+
+
+def vectors(spark, found):
+    return spark.createDataFrame(pa.table({"id": np.arange(len(found)), "embedding": pa.array(list(found), pa.list_(pa.float32()))}))
+
+
+def test_words_of_many_queries_do_not_meet_every_record(spark):
+    found = vectors(spark, points(2000))
+    asked = found.filter("id < 300").select(F.col("id").alias("qid"), "embedding", F.when(F.col("id") % 2 == 0, "a1 b2 c0").otherwise("b3 A0 a0").alias("text"))
+    made = rows_made(search.hybrid_batch(records(spark, 2000), found, asked, 10), "Join")
+    assert max(made) <= 300 * 60  # a list for each query; words met 400,000 records
+
+
+def test_tag_lists_are_the_best_records_of_each_query(spark):
+    memories, k = records(spark, 90), 7
+    texts = {1: ["a1", "b2"], 2: ["b2", "a1"], 3: ["c0", "c0", "a2"], 4: ["none"], 5: ["__type:long_term"], 6: ["b4", "c1", "a0", "__archived__"]}
+    words = spark.createDataFrame([(q, t, float(own.count(t))) for q, own in texts.items() for t in set(own)], "qid long, token string, times double")
+    want = set()
+    for q, own in texts.items():
+        scores = {i: sum(t in (f"a{i % 3}", f"b{i % 5}", f"c{i % 2}", "__type:long_term", "__archived__" if i % 7 == 0 else "") for t in own) for i in range(90)}
+        best = sorted((-s, i) for i, s in scores.items() if s)[:k]
+        want |= {(q, i, float(-s), r + 1) for r, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in search.tag_lists(memories, words, k).select("qid", "key", "score", "rank").collect()} == want
