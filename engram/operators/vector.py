@@ -18,8 +18,12 @@ from ..schema import Metric
 DIGITS = 6
 #: The most rows that a list may have: what is made from it is broadcast.
 MAX_K = 10_000
-#: Rows of a score matrix that are in memory at once.
-STRIP = 512
+#: Points, and vectors, whose distances are in memory at once; vectors of the first tile of points without neighbours; pairs that are scored at once.
+STRIP, TILE, FIRST, PAIRS = 256, 8192, 1024, 16_384
+#: Blocks that each of two sides of a comparison is dealt into at most, as long as none is larger than so many bytes of vectors.
+BLOCKS, BLOCK_BYTES = 7, 32 << 20
+#: Pairs from which cells get a task each.
+MANY_PAIRS = 1_000_000_000
 
 
 def check_dimension(vectors: DataFrame, query: Sequence[float]) -> None:
@@ -104,41 +108,91 @@ def remove(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 / (1 + squared distance), rounded, of all rows of a against all of b; exact zero distances stay zero."""
-    d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
-    return np.round(1 / (1 + d), DIGITS)
-
-
-def _best(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best scores of one row, ties by key."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= least)
-    else:
-        near = np.arange(len(score))
-    return near[np.lexsort((keys[near], -score[near]))][:k]
+def _points(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """As `matrix`, in the type of the column and without a copy if it can be: `Nearest` makes doubles of a tile at a time."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    dim = dim if dim is not None else int(lengths[0]) if len(lengths) else 0
+    if (wrong := lengths != dim).any():
+        raise ValueError(f"expected {dim} dimensions, a vector has {lengths[wrong][0]}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 FOUND = "src long, dst long, score double"
 
 
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 3
-    return pa.record_batch([pa.array(np.asarray(cols[0], np.int64)), pa.array(np.asarray(cols[1], np.int64)), pa.array(np.asarray(cols[2], np.float64))], ["src", "dst", "score"])
+class Nearest:
+    """The k best of the vectors seen so far for each of some points, of a score of `least` or more; ties by key.
 
+    Vectors come in tiles, of which a matrix product gives squared distances to a strip of points. Only pairs that may still be among the
+    k best are scored, from the differences of their vectors. Memory is a tile and k rows a point, however many vectors come.
+    """
 
-def _nearest(ids: np.ndarray, points: np.ndarray, keys: np.ndarray, others: np.ndarray, k: int, least: float, skip_self: bool) -> list[tuple]:
-    """(id, key, score) of the k best of the others for each point that reach `least`, strip by strip."""
-    found = []
-    for a in range(0, len(ids), STRIP):
-        score = _scores(points[a : a + STRIP], others)
-        if skip_self:
-            score[ids[a : a + STRIP, None] == keys[None, :]] = -1
-        for i, s in zip(ids[a : a + STRIP], score):
-            near = np.flatnonzero(s >= least)
-            found += [(i, keys[near[j]], s[near[j]]) for j in _best(s[near], keys[near], k)]
-    return found
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, least: float = 0.0, skip_self: bool = True):
+        self.ids, self.points, self.k, self.least, self.skip_self = ids, points, k, least, skip_self
+        self.score, self.key = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
+
+    def add(self, keys: np.ndarray, others: np.ndarray) -> None:
+        if not self.k:
+            return
+        if (keys[1:] < keys[:-1]).any():  # then a tile's ties with earlier vectors are out by their keys
+            order = np.argsort(keys, kind="stable")
+            keys, others = keys[order], others[order]
+        for a in range(0, len(self.ids), STRIP):
+            strip = slice(a, a + STRIP)
+            points = self.points[strip].astype(np.float64)
+            sizes = (points * points).sum(1)
+            left = np.concatenate([-2 * points, np.ones((len(points), 1))], 1)
+            # While points lack k neighbours, a short tile finds some; then few pairs of the others are near enough.
+            b, n = 0, max(FIRST, 4 * self.k) if (self.score[strip, -1] < 0).any() else TILE
+            while b < len(keys):
+                self._tile(strip, points, sizes, left, keys[b : b + n], others[b : b + n].astype(np.float64))
+                b, n = b + n, TILE
+
+    def _tile(self, strip: slice, points: np.ndarray, sizes: np.ndarray, left: np.ndarray, keys: np.ndarray, others: np.ndarray) -> None:
+        own = (others * others).sum(1)
+        d = left @ np.concatenate([others, own[:, None]], 1).T  # without the point's own size
+        error = 1e-15 * (points.shape[1] + 8) * (sizes + own.max(initial=0.0))  # of a distance out of products
+        score, key = self.score[strip], self.key[strip]
+        lowest = np.maximum(score[:, -1], self.least)  # a worse score can't enter; as good a one can, with a smaller key
+        tied_out = (score[:, -1] > self.least) & (key[:, -1] <= keys.min())
+        lacking = score[:, -1] < 0
+        if lacking.any() and len(keys) > self.k:
+            near = d[lacking]
+            if self.skip_self:
+                near[self.ids[strip][lacking, None] == keys[None, :]] = np.inf
+            near = np.partition(near, self.k - 1, 1)[:, self.k - 1] + sizes[lacking] + 2 * error[lacking]
+            lowest[lacking] = np.maximum(lowest[lacking], 1 / (1 + np.maximum(near, 0)) - 10.0**-DIGITS)
+        lowest = lowest + np.where(tied_out, 0.4, -1.0) * 10.0**-DIGITS  # scores are rounded
+        most = np.where(lowest > 0, 1 / np.where(lowest > 0, lowest, 1.0) - 1, np.inf)
+        at = np.flatnonzero(d <= (most - sizes + error)[:, None])
+        for c in range(0, len(at), PAIRS):
+            self._merge(strip, points, score, key, *np.divmod(at[c : c + PAIRS], len(keys)), keys, others)
+
+    def _merge(self, strip: slice, points: np.ndarray, score: np.ndarray, key: np.ndarray, row: np.ndarray, col: np.ndarray, keys: np.ndarray, others: np.ndarray) -> None:
+        """Score pairs of a point and a vector and take those among the k best into score and key."""
+        found = np.round(1 / (1 + ((points[row] - others[col]) ** 2).sum(1)), DIGITS)
+        new = keys[col]
+        good = (found >= self.least) & ((found > score[row, -1]) | ((found == score[row, -1]) & (new < key[row, -1])))
+        if self.skip_self:
+            good &= self.ids[strip][row] != new
+        row, found, new = row[good], found[good], new[good]
+        if not len(row):
+            return
+        rows = np.unique(row)
+        old = score[rows] >= 0
+        row = np.concatenate([np.broadcast_to(rows[:, None], old.shape)[old], row])
+        found, new = np.concatenate([score[rows][old], found]), np.concatenate([key[rows][old], new])
+        order = np.lexsort((new, -found, row))
+        row, found, new = row[order], found[order], new[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        score[rows] = -1.0
+        score[row[kept], place[kept]], key[row[kept], place[kept]] = found[kept], new[kept]
+
+    def batch(self) -> pa.RecordBatch:
+        has = self.score >= 0
+        src = np.broadcast_to(np.asarray(self.ids, np.int64)[:, None], has.shape)[has]
+        return pa.record_batch([pa.array(src), pa.array(self.key[has]), pa.array(self.score[has])], ["src", "dst", "score"])
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -151,15 +205,15 @@ def compare_cells(rows: DataFrame, on: list[str], k: int, least: float = 0.0, sk
     """src, dst and score from rows (on..., query, id, embedding): in each cell the k best others for every query."""
 
     def compare(key, table):
-        table = table.combine_chunks()
         asks, has = table.filter(table["query"]), table.filter(pc.invert(table["query"]))
-        found = []
-        if len(asks) and len(has):
-            points, others = (matrix(t["embedding"].combine_chunks()) for t in (asks, has))
-            if points.shape[1] != others.shape[1]:
-                raise ValueError(f"queries have {points.shape[1]} dimensions, vectors {others.shape[1]}")
-            found = _nearest(asks["id"].to_numpy(), points, has["id"].to_numpy(), others, k, least, skip_self)
-        return pa.Table.from_batches([_out(found)])
+        del table
+        points, others = (_points(t["embedding"].combine_chunks()) for t in (asks, has))
+        if len(asks) and len(has) and points.shape[1] != others.shape[1]:
+            raise ValueError(f"queries have {points.shape[1]} dimensions, vectors {others.shape[1]}")
+        best = Nearest(asks["id"].to_numpy(), points, k, least, skip_self)
+        if len(asks):
+            best.add(has["id"].to_numpy(), others)
+        return pa.Table.from_batches([best.batch()])
 
     return rows.groupBy(*on).applyInArrow(compare, FOUND)
 
@@ -173,33 +227,53 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096,
     vectors, queries = (df.select("id", "embedding").filter("embedding is not null") for df in (vectors, queries))
     held = queries.limit(block + 1).toArrow()
     if len(held) > block:
-        return best_of(compare_cells(_dealt(vectors, queries, 4 * block), ["i", "j"], k, skip_self=skip_self), k)
+        return best_of(compare_cells(_dealt(vectors, queries, k, 4 * block), ["i", "j"], k, skip_self=skip_self), k)
     held = held.combine_chunks()
     ids = held["id"].to_numpy().astype(np.int64)
     points = matrix(held["embedding"].combine_chunks()) if len(held) else np.zeros((0, 0))
 
     def run(batches):
+        best = Nearest(ids, points, k, 0.0, skip_self)
         for batch in batches:
             if batch.num_rows and len(ids):
-                yield _out(_nearest(ids, points, batch.column(0).to_numpy(), matrix(batch.column(1), points.shape[1]), k, 0.0, skip_self))
+                best.add(batch.column(0).to_numpy(), _points(batch.column(1), points.shape[1]))
+        yield best.batch()
 
     return best_of(vectors.mapInArrow(run, FOUND), k)
 
 
-def _dealt(vectors: DataFrame, queries: DataFrame, block: int) -> DataFrame:
-    """Cells (i, j, query, id, embedding): block i of the queries with block j of the vectors."""
-    n, m = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+def _size(vectors: DataFrame) -> tuple[int, int]:
+    """Number of vectors, and the fewest blocks of at most BLOCK_BYTES."""
+    n, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    return n, -(-n * dim * 4 // BLOCK_BYTES)
+
+
+def _dealt(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    """Cells (i, j, query, id, embedding): block i of the queries with block j of the vectors.
+
+    Blocks have at least about `block` rows. There are BLOCKS ** 2 cells, of few queries with parts of many vectors so that the copies and
+    the k rows a query of each cell are the fewest: what is shuffled is in proportion to the rows, until blocks reach BLOCK_BYTES.
+    """
+    (asked, least_n), (there, least_m) = _size(queries), _size(vectors)
+    # A copy of a query brings k rows of about a tenth of a vector.
+    share = (asked * (1 + k / 10) / max(there, 1)) ** 0.5 if asked else 1.0
+    n, m = (max(1, min(-(-rows // block), max(round(BLOCKS * by), least))) for rows, by, least in ((asked, share, least_n), (there, 1 / max(share, 1e-9), least_m)))
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asks = queries.select(own(n).alias("i"), every(m).alias("j"), F.lit(True).alias("query"), "id", "embedding")
     has = vectors.select(every(n).alias("i"), own(m).alias("j"), F.lit(False).alias("query"), "id", "embedding")
-    return asks.unionByName(has)
+    return _apart(asks.unionByName(has), n * m, asked * there)
+
+
+def _apart(cells: DataFrame, n: int, pairs: int) -> DataFrame:
+    """The n cells (i, j) of many pairs in tasks of their own, which are work enough though their rows are few."""
+    return cells.repartition(4 * n, "i", "j") if pairs > MANY_PAIRS else cells
 
 
 def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 16_384) -> DataFrame:
     """src, dst, score and rank of the k best other vectors that reach `threshold`, for every vector.
 
-    Vectors are dealt into blocks, and each two blocks meet in one cell, which compares them by matrix products in strips: exact, no
+    Vectors are dealt into blocks, and each two blocks meet in one cell, which compares them by matrix products in tiles: exact, no
     row per pair, and a task holds two blocks. A vector is copied once per block. The work grows with the square of the number of vectors; `ann.ClusteredIndex.links` is the way that doesn't.
     """
     vectors = vectors.select("id", "embedding").filter("embedding is not null")
@@ -210,12 +284,17 @@ def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 1
 
     def compare(key, table):
         i, j = (x.as_py() for x in key)
-        table = table.combine_chunks()
-        ids, points, blk = table["id"].to_numpy(), matrix(table["embedding"].combine_chunks()), table["blk"].to_numpy()
-        left, right = blk == i, blk == j
-        found = _nearest(ids[left], points[left], ids[right], points[right], k, threshold, True)
-        if i != j:
-            found += _nearest(ids[right], points[right], ids[left], points[left], k, threshold, True)
-        return pa.Table.from_batches([_out(found)])
+        sides = [table.filter(pc.equal(table["blk"], x)) for x in dict.fromkeys((i, j))]
+        del table
+        sides = [(t["id"].to_numpy(), _points(t["embedding"].combine_chunks())) for t in sides]
+        if len({p.shape[1] for x, p in sides if len(x)}) > 1:
+            raise ValueError(f"vectors of different dimensions: {[p.shape[1] for _, p in sides]}")
+        found = []
+        for (ids, points), (keys, others) in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
+            best = Nearest(ids, points, k, threshold)
+            if len(ids) and len(keys):
+                best.add(keys, others)
+            found.append(best.batch())
+        return pa.Table.from_batches(found)
 
     return best_of(cells.groupBy("i", "j").applyInArrow(compare, FOUND), k)

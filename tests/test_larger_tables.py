@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram import catalogue
-from engram.operators import search
+from engram.operators import search, vector
 
 from .oracle import assert_same
 
@@ -85,3 +85,28 @@ def test_tag_lists_are_the_best_records_of_each_query(spark):
         best = sorted((-s, i) for i, s in scores.items() if s)[:k]
         want |= {(q, i, float(-s), r + 1) for r, (s, i) in enumerate(best)}
     assert {tuple(r) for r in search.tag_lists(memories, words, k).select("qid", "key", "score", "rank").collect()} == want
+
+
+def test_cells_are_few_copies_of_each_vector(spark):
+    made = [sum(rows_made(vector.knn_batch(t, t, 3, block=5), "Generate")) for t in (vectors(spark, points(n)) for n in (500, 1500))]
+    assert made[1] <= 3.1 * made[0]  # grew with the square: nine-fold
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_nearest_in_tiles(copies, skip_self, monkeypatch):
+    """As brute force, whatever the tiles, the order and the number of equal vectors."""
+    for name, n in {"STRIP": 50, "TILE": 70, "FIRST": 30, "PAIRS": 500}.items():
+        monkeypatch.setattr(vector, name, n)
+    rng = np.random.RandomState(copies)
+    others, keys = points(400)[rng.randint(0, 400 // copies, 400)], rng.permutation(400)
+    for least in (0.0, 0.12):
+        best = vector.Nearest(keys[:90], others[:90], 6, least, skip_self)
+        for a in range(0, 400, 130):
+            best.add(keys[a : a + 130], others[a : a + 130])
+        want = []
+        for i, p in zip(keys[:90], others[:90].astype(float)):
+            score = np.round(1 / (1 + ((others - p) ** 2).sum(1)), 6)
+            near = sorted((-s, j) for s, j in zip(score, keys) if s >= least and not (skip_self and i == j))[:6]
+            want += [(i, j, -s) for s, j in near]
+        assert sorted(zip(*(c.to_pylist() for c in best.batch().columns))) == sorted(want)
