@@ -155,16 +155,20 @@ class Nearest:
         score, key = self.score[strip], self.key[strip]
         lowest = np.maximum(score[:, -1], self.least)  # a worse score can't enter; as good a one can, with a smaller key
         tied_out = (score[:, -1] > self.least) & (key[:, -1] <= keys.min())
-        lacking = score[:, -1] < 0
-        if lacking.any() and len(keys) > self.k:
+
+        def near_enough() -> np.ndarray:
+            least = lowest + np.where(tied_out, 0.4, -1.0) * 10.0**-DIGITS  # scores are rounded
+            most = np.where(least > 0, 1 / np.where(least > 0, least, 1.0) - 1, np.inf)
+            return np.flatnonzero(d <= (most - sizes + error)[:, None])
+
+        at, lacking = near_enough(), score[:, -1] < 0
+        if len(at) > PAIRS and lacking.any() and len(keys) > self.k:
             near = d[lacking]
             if self.skip_self:
                 near[self.ids[strip][lacking, None] == keys[None, :]] = np.inf
             near = np.partition(near, self.k - 1, 1)[:, self.k - 1] + sizes[lacking] + 2 * error[lacking]
             lowest[lacking] = np.maximum(lowest[lacking], 1 / (1 + np.maximum(near, 0)) - 10.0**-DIGITS)
-        lowest = lowest + np.where(tied_out, 0.4, -1.0) * 10.0**-DIGITS  # scores are rounded
-        most = np.where(lowest > 0, 1 / np.where(lowest > 0, lowest, 1.0) - 1, np.inf)
-        at = np.flatnonzero(d <= (most - sizes + error)[:, None])
+            at = near_enough()
         for c in range(0, len(at), PAIRS):
             self._merge(strip, points, score, key, *np.divmod(at[c : c + PAIRS], len(keys)), keys, others)
 
@@ -273,11 +277,12 @@ def _apart(cells: DataFrame, n: int, pairs: int) -> DataFrame:
 def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 16_384) -> DataFrame:
     """src, dst, score and rank of the k best other vectors that reach `threshold`, for every vector.
 
-    Vectors are dealt into blocks, and each two blocks meet in one cell, which compares them by matrix products in tiles: exact, no
-    row per pair, and a task holds two blocks. A vector is copied once per block. The work grows with the square of the number of vectors; `ann.ClusteredIndex.links` is the way that doesn't.
+    Vectors are dealt into blocks of about `block` or more, and each two blocks meet in one cell, which compares them by matrix products in tiles: exact, no
+    row per pair, and a task holds two blocks. A vector is copied once per block, of which there are few: see `_dealt`. The work grows with the square of the number of vectors; `ann.ClusteredIndex.links` is the way that doesn't.
     """
     vectors = vectors.select("id", "embedding").filter("embedding is not null")
-    blocks = max(1, -(-vectors.count() // block))
+    n, least = _size(vectors)
+    blocks = max(1, min(-(-n // block), max(2 * BLOCKS, least)))
     dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     cells = cells.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "embedding")
@@ -297,4 +302,4 @@ def similarity_join(vectors: DataFrame, threshold: float, k: int, block: int = 1
             found.append(best.batch())
         return pa.Table.from_batches(found)
 
-    return best_of(cells.groupBy("i", "j").applyInArrow(compare, FOUND), k)
+    return best_of(_apart(cells, blocks * (blocks + 1) // 2, n * n).groupBy("i", "j").applyInArrow(compare, FOUND), k)

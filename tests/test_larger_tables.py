@@ -1,6 +1,7 @@
 """What only larger tables than the smallest ones hold: long texts, and more rows than one block, group or batch has."""
 
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -110,3 +111,18 @@ def test_nearest_in_tiles(copies, skip_self, monkeypatch):
             near = sorted((-s, j) for s, j in zip(score, keys) if s >= least and not (skip_self and i == j))[:6]
             want += [(i, j, -s) for s, j in near]
         assert sorted(zip(*(c.to_pylist() for c in best.batch().columns))) == sorted(want)
+
+
+def test_a_cell_of_full_blocks_takes_little_memory(spark, monkeypatch):
+    step = {}
+    few = vectors(spark, points(10))
+    kind = type(few.groupBy("id"))
+    monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema, run=kind.applyInArrow: step.update(f=f) or run(self, f, schema))
+    vector.similarity_join(few, 0.45, 5)
+    n = 16_384
+    table = pa.table({"blk": pa.array(np.zeros(n, np.int32)), "id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(points(n, 16).ravel()), 16).cast(pa.list_(pa.float32()))})
+    tracemalloc.start()
+    step["f"]((pa.scalar(0), pa.scalar(0)), table)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60
